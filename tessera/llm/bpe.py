@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 #: Parts above which a word counts as long.
 LONG = 96
 #: Pieces remembered by each worker.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+_BITS = 20
+_MASK = (1 << _BITS) - 1
 _NO_RANK = 1 << 60
 #: Python's str.split() also parts at these; the vocabulary's pattern doesn't.
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -50,6 +52,22 @@ def byte_alphabet() -> list[str]:
     return signs
 
 
+class _Seen(dict):
+    """Remembers what `make` gives for short keys, a bounded number of them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        got = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; `spec` is the text of its file."""
 
@@ -61,7 +79,8 @@ class Codec:
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: (left << _BITS | right) to (rank << _BITS | joined), so that ranks compare as they are
+        self.ranks = {vocab[a] << _BITS | vocab[b]: rank << _BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         signs = byte_alphabet()
         self.inner = [vocab[s] for s in signs]
         self.last = [vocab[s + self.suffix] for s in signs]
@@ -74,70 +93,70 @@ class Codec:
         )
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen = _Seen(self.piece)
+        self.seen_words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         return tuple(self._merge_long(ids) if len(ids) > LONG else self._merge_short(ids))
 
-    def _rank(self, left: int, right: int) -> int:
-        found = self.ranks.get((left, right))
-        return found[0] if found else _NO_RANK
-
     def _merge_short(self, parts: list[int]) -> list[int]:
-        ranks = [self._rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        rank = self.ranks.get
+        ranks = [rank(a << _BITS | b, _NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == _NO_RANK:
                 break
             at = ranks.index(least)
-            parts[at] = self.ranks[parts[at], parts[at + 1]][1]
+            parts[at] = least & _MASK
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = self._rank(parts[at], parts[at + 1])
+                ranks[at] = rank(parts[at] << _BITS | parts[at + 1], _NO_RANK)
             if at:
-                ranks[at - 1] = self._rank(parts[at - 1], parts[at])
+                ranks[at - 1] = rank(parts[at - 1] << _BITS | parts[at], _NO_RANK)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        n = len(parts)
+        n, rank = len(parts), self.ranks.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self._rank(parts[i], parts[i + 1])) != _NO_RANK]
+        pairs = ((rank(parts[i] << _BITS | parts[i + 1]), i) for i in range(n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for r, i in pairs if r is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            least, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j < 0 or parts[j] != right:
                 continue
-            parts[i], parts[j] = self.ranks[left, right][1], -1
+            parts[i], parts[j] = least & _MASK, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self._rank(parts[a], parts[b])) != _NO_RANK:
+                if a >= 0 and b >= 0 and (r := rank(parts[a] << _BITS | parts[b])) is not None:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
-    def piece(self, raw: str) -> tuple[int, ...]:
-        """Ids of text without white space and special tokens."""
-        got = self.seen.get(raw)
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of one normalised word."""
+        got = self.seen_words.get(word)
         if got is None:
-            text = unicodedata.normalize("NFC", raw)
-            text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-            got = tuple(chain.from_iterable(self.merge(w.encode("utf-8")) for w in self.words.findall(text)))
-            if len(raw) <= 64:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[raw] = got
+            got = self.merge(word.encode("utf-8"))
+            if len(word) <= 64:
+                if len(self.seen_words) >= REMEMBERED:
+                    self.seen_words.clear()
+                self.seen_words[word] = got
         return got
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def piece(self, raw: str) -> tuple[int, ...]:
+        """Ids of text without white space and special tokens."""
+        text = unicodedata.normalize("NFC", raw)
+        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        return tuple(chain.from_iterable(map(self.word, self.words.findall(text))))
+
+    def _plain(self, text: str) -> list[int]:
         pieces = [p for p in _BLANK.split(text) if p] if _ODD.search(text) else text.split()
-        seen = self.seen
-        for p in pieces:
-            got = seen.get(p)
-            yield self.piece(p) if got is None else got
+        return list(chain.from_iterable(map(self.seen.__getitem__, pieces)))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null counts as empty."""
@@ -149,9 +168,9 @@ class Codec:
                 if k % 2:
                     out.append(self.special[part])
                 else:
-                    out.extend(chain.from_iterable(self._plain(part)))
+                    out += self._plain(part)
             return out
-        return list(chain.from_iterable(self._plain(text)))
+        return self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts joined by spaces, which is how a vocabulary without a decoder reads."""
