@@ -23,7 +23,7 @@ SAMPLE = 576
 KEY_EVERY = 8
 PER_CHUNK = 16
 RATE = 48_000
-CODEC = b"sowt"
+CODEC = b"raw "
 #: Boxes that hold boxes.
 NESTED = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"})
 
