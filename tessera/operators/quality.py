@@ -120,15 +120,13 @@ def cycle(series: np.ndarray, low: float = 2.0, high: float = 8.0) -> np.ndarray
     a, b = 2 * math.pi / high, 2 * math.pi / low
     lags = np.arange(1, n)
     weight = np.concatenate([[(b - a) / math.pi], (np.sin(lags * b) - np.sin(lags * a)) / (math.pi * lags)])
-    head = -0.5 * weight[0] - np.concatenate([[0], np.cumsum(weight[1:])])  # what is left for the ends
+    # what is left for an end that lies k + 1 steps away
+    end = -0.5 * weight[0] - np.concatenate([[0], np.cumsum(weight[1:])])
     out = np.empty(n)
     for t in range(n):
         w = weight[np.abs(np.arange(n) - t)].copy()
-        w[0], w[-1] = head[max(t - 1, 0)] if t else -0.5 * weight[0] + 0 * head[0], head[max(n - 2 - t, 0)] if t < n - 1 else -0.5 * weight[0]
-        if t == 0:
-            w[0], w[-1] = 0.5 * weight[0], head[n - 2] if n > 1 else 0.0
-        if t == n - 1 and n > 1:
-            w[-1], w[0] = 0.5 * weight[0], head[n - 2]
+        w[0] = end[t - 1] if t else 0.5 * weight[0]
+        w[-1] = end[n - 2 - t] if t < n - 1 else 0.5 * weight[0]
         out[t] = w @ series
     return out
 
