@@ -1,15 +1,26 @@
-"""Every query of the engine by name, and its SQL where SQL can express it."""
+"""Every query of the engine by name, and its SQL where SQL can express it.
+
+Rows of lineitem stand for events, suppliers for subjects; the seven columns of KEY identify a row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import scalars, tokens
+from .operators import aggregates, heterogeneity, layers, models, quality, ranks, rows, space, trees
+from .plans import preprocessing
+from .streaming import incremental
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def query(sql: str | None = None):
@@ -28,6 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem")
+
+
 @query(
     """
 with a as (select r_name, n_name, c_custkey, avg(o_totalprice) m
@@ -39,12 +54,675 @@ select r_name, avg(m) as nested_mean from b group by r_name
 )
 def nested_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    rows = (
+    joined = (
         t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    per = rows.groupBy("r_name", "n_name", "c_custkey").agg(F.avg("o_totalprice").alias("m"))
-    per = per.groupBy("r_name", "n_name").agg(F.avg("m").alias("m"))
-    return per.groupBy("r_name").agg(F.avg("m").alias("nested_mean")).orderBy("r_name")
+    got = aggregates.nested(joined, ["o_totalprice"], ["n_name", "c_custkey"], ["r_name"])
+    return got.select("r_name", F.col("o_totalprice").alias("nested_mean")).orderBy("r_name")
+
+
+@query("select l_returnflag, median(m) as nested_median from (select l_returnflag, l_suppkey, median(l_quantity) m from lineitem group by all) group by l_returnflag")
+def nested_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = aggregates.nested(lines(spark, sf_dir), ["l_quantity"], ["l_suppkey"], ["l_returnflag"], F.median)
+    return got.select("l_returnflag", F.col("l_quantity").alias("nested_median"))
+
+
+@query(
+    "select l_returnflag, l_linestatus, avg(l_quantity) as l_quantity, avg(l_extendedprice) as l_extendedprice, avg(l_discount) as l_discount, avg(l_tax) as l_tax from lineitem group by all"
+)
+def group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.group_means(lines(spark, sf_dir), MEASURES, ["l_returnflag", "l_linestatus"])
+
+
+@query(
+    """
+with i as (select l_returnflag, l_suppkey, avg(l_quantity) as q, count(*) as n_rows from lineitem group by all)
+select l_returnflag, count(*) as n_individuals, sum(n_rows)::bigint as sum_n_rows, median(q) as q_median, stddev_samp(q) as q_std,
+       quantile_cont(q, 0.25) as q_q25, quantile_cont(q, 0.75) as q_q75 from i group by l_returnflag
+"""
+)
+def individuals_to_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = lines(spark, sf_dir).groupBy("l_returnflag", "l_suppkey").agg(F.avg("l_quantity").alias("q"), F.count(F.lit(1)).alias("n_rows"))
+    return aggregates.individuals_to_group(per, "l_returnflag", ["q"], "n_rows")
+
+
+@query(
+    """
+select l_suppkey::varchar as sample, channel, median(v) as value, stddev_pop(v) as sd
+from (select l_suppkey, unnest(['l_quantity', 'l_discount']) as channel, unnest([l_quantity, l_discount]) as v from lineitem) group by all
+"""
+)
+def intensity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.intensity_table(lines(spark, sf_dir), "l_suppkey", ["l_quantity", "l_discount"], "median")
+
+
+@query(
+    """
+select l_suppkey, 100.0 * count(*) filter (l_returnflag = 'A') / count(*) as "pct_A", 100.0 * count(*) filter (l_returnflag = 'N') / count(*) as "pct_N",
+       100.0 * count(*) filter (l_returnflag = 'R') / count(*) as "pct_R" from lineitem group by l_suppkey
+"""
+)
+def share_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.share_table(lines(spark, sf_dir), "l_suppkey", "l_returnflag", ["A", "N", "R"])
+
+
+@query(
+    """
+select l_suppkey, string_agg(distinct l_returnflag, ' / ' order by l_returnflag) as l_returnflag, string_agg(distinct l_linestatus, ' / ' order by l_linestatus) as l_linestatus
+from lineitem group by l_suppkey
+"""
+)
+def subject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.subject_summary(lines(spark, sf_dir), "l_suppkey", ["l_returnflag", "l_linestatus"])
+
+
+@query(
+    """
+select l_suppkey, l_returnflag as mode from (
+  select *, row_number() over (partition by l_suppkey order by c desc, l_returnflag) rk from (select l_suppkey, l_returnflag, count(*) c from lineitem group by all)) where rk = 1
+"""
+)
+def representative_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.mode(lines(spark, sf_dir), "l_suppkey", "l_returnflag")
+
+
+@query(
+    """
+select l_returnflag, l_suppkey, count(*) as n, sum(w) as weight from (
+  select l_returnflag, l_suppkey, 1.0 / count(*) over (partition by l_returnflag, l_suppkey)
+    / (select count(distinct l_returnflag) from lineitem) / c as w
+  from lineitem join (select l_returnflag, count(distinct l_suppkey) c from lineitem group by 1) using (l_returnflag)) group by all
+"""
+)
+def nested_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = aggregates.nested_weights(lines(spark, sf_dir).select("l_returnflag", "l_suppkey"), ["l_returnflag", "l_suppkey"])
+    return got.groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("select l_returnflag, 1.4826 * mad(l_extendedprice) as mad from lineitem group by 1")
+def robust_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.r_mad(lines(spark, sf_dir), "l_extendedprice", ["l_returnflag"])
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem where l_returnflag in ('A', 'R') and l_linestatus in ('F')")
+def subset_by_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rows.subset(lines(spark, sf_dir), {"l_returnflag": ["A", "R"], "l_linestatus": ["F"]})
+    return got.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity between 10 and 20 and l_discount > 0.03")
+def subset_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines(spark, sf_dir).where(rows.by_value(F.col("l_quantity"), "between", 10, 20) & rows.by_value(F.col("l_discount"), "above", 0.03, inclusive=False))
+    return got.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(
+    """
+select l_suppkey, l_orderkey, l_linenumber, l_extendedprice from (
+  select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc, l_shipdate desc) rk,
+         count(*) over (partition by l_suppkey) n from lineitem) where rk <= round_even(0.1 * n, 0)
+"""
+)
+def top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.fraction(lines(spark, sf_dir), "l_extendedprice", 0.1, KEY, "highest", "l_suppkey").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(
+    """
+select s_suppkey, l_orderkey, l_linenumber from (
+  select l_suppkey as s_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by
+    md5('7|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) rk from lineitem) where rk <= 30
+"""
+)
+def sample_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_suppkey").orderBy(rows.sample_order(KEY[:4], 7), *KEY)
+    got = lines(spark, sf_dir).withColumn("rk", F.row_number().over(w)).where("rk <= 30")
+    return got.select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    """
+with e as (select quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) as q from lineitem)
+select bin, count(*) as n, sum(l_extendedprice) as total from (select 'Q' || (1 + (q[1] < l_extendedprice)::int + (q[2] < l_extendedprice)::int + (q[3] < l_extendedprice)::int) as bin, l_extendedprice from lineitem, e) group by bin
+"""
+)
+def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = rows.quantile_bin(lines(spark, sf_dir), "l_extendedprice", 4, "bin")
+    return got.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"))
+
+
+@query("select case when s_acctbal < 0 then 'Low (< 0.0)' when s_acctbal >= 0 then 'High (≥ 0.0)' end as split, count(*) as n from supplier group by 1")
+def threshold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").groupBy(scalars.split_at(F.col("s_acctbal"), 0.0).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select case o_orderpriority when '1-URGENT' then 'High' when '2-HIGH' then 'High' when '5-LOW' then 'Low' else 'Other' end as label, count(*) as n from orders group by 1")
+def recode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = scalars.recode(F.col("o_orderpriority"), {"High": ["1-URGENT", "2-HIGH"], "Low": ["5-LOW"]})
+    return table(spark, sf_dir, "orders").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """
+with r as (select s_suppkey, row_number() over (order by s_acctbal, s_suppkey) rk, count(*) over () n from supplier)
+select s_suppkey, case when rk <= 1 + (n - 1) / 3.0::double then 'low' when rk <= 1 + 2 * (n - 1) / 3.0::double then 'mid' else 'high' end as tertile from r
+"""
+)
+def first_rank_tertiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.rank_tertiles(table(spark, sf_dir, "supplier"), "s_acctbal", ["s_suppkey"]).select("s_suppkey", "tertile")
+
+
+def _layer_sql(expr: str) -> str:
+    return f"""
+with t as (select l_suppkey, {expr} as x from lineitem), p as (select avg(x) a, stddev_pop(x) s from t)
+select l_suppkey, avg((x - a) / s) as mean_z, min((x - a) / s) as min_z, max((x - a) / s) as max_z from t, p group by l_suppkey
+"""
+
+
+def _layer(spark: SparkSession, sf_dir: str, transform: str) -> DataFrame:
+    df = lines(spark, sf_dir).select("l_suppkey", "l_extendedprice")
+    z = layers.fit_layer(df, ["l_extendedprice"], transform, "zscore_col").apply(df)
+    return z.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("mean_z"), F.min("l_extendedprice").alias("min_z"), F.max("l_extendedprice").alias("max_z"))
+
+
+@query(_layer_sql("l_extendedprice"))
+def layer_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer(spark, sf_dir, "none")
+
+
+@query(_layer_sql("asinh(l_extendedprice / 150.0::double)"))
+def layer_arcsinh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer(spark, sf_dir, "arcsinh")
+
+
+@query(_layer_sql("asinh(5 * l_extendedprice / (select greatest(quantile_cont(l_extendedprice, 0.99), 1.0) from lineitem))"))
+def layer_logicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layer(spark, sf_dir, "logicle")
+
+
+@query(
+    """
+select l_orderkey, l_linenumber, l_quantity / n as q, l_discount / n as d from (select *, sqrt(l_quantity * l_quantity + l_discount * l_discount) n from lineitem)
+"""
+)
+def layer_row_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    got = layers.fit_layer(df, ["l_quantity", "l_discount"], "none", "l2norm_row").apply(df)
+    return got.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"))
+
+
+@query(
+    """
+with p as (select min(l_quantity) a, max(l_quantity) b from lineitem where l_returnflag = 'A')
+select l_returnflag, min((l_quantity - a) / (b - a)) as low, max((l_quantity - a) / (b - a)) as high, avg((l_quantity - a) / (b - a)) as mean from lineitem, p group by 1
+"""
+)
+def layer_minmax_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    frozen = layers.Layer.from_json(layers.fit_layer(df.where("l_returnflag = 'A'"), ["l_quantity"], "none", "minmax_col").to_json())
+    return frozen.apply(df).groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.avg("l_quantity").alias("mean"))
+
+
+_RANKED = """
+long as (select {g} as grp, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as v from lineitem),
+r as (select *, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0::double as rk from long),
+ties as (select feature, sum(t::double * t * t - t) as ties from (select feature, v, count(*) t from long group by all) group by 1),
+s as (select feature, grp, count(*) n, sum(rk) rs from r group by all)"""
+
+
+@query(
+    "with "
+    + _RANKED.format(g="l_linestatus")
+    + """
+select feature, max(rs) filter (grp = 'F') - max(n) filter (grp = 'F') * (max(n) filter (grp = 'F') + 1) / 2.0::double as statistic,
+       1 - 2 * (max(rs) filter (grp = 'F') - max(n) filter (grp = 'F') * (max(n) filter (grp = 'F') + 1) / 2.0::double) / (max(n) filter (grp = 'F') * max(n) filter (grp = 'O')) as effect
+from s group by feature
+"""
+)
+def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.compare_groups(lines(spark, sf_dir), "l_linestatus", MEASURES).select("feature", "statistic", "effect")
+
+
+@query(
+    "with "
+    + _RANKED.format(g="l_returnflag")
+    + """
+select feature, h as statistic, h / ((select count(*) from lineitem) - 1) as effect from (
+  select feature, (12 / (sum(n) * (sum(n) + 1))::double * sum(rs * rs / n) - 3 * (sum(n) + 1)) / (1 - max(ties) / (sum(n)::double * sum(n) * sum(n) - sum(n))) as h from s join ties using (feature) group by feature)
+"""
+)
+def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.compare_groups(lines(spark, sf_dir), "l_returnflag", MEASURES).select("feature", "statistic", "effect")
+
+
+@query()
+def compare_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.compare_groups(lines(spark, sf_dir), "l_returnflag", MEASURES)
+
+
+@query(
+    """
+with p as (select s_suppkey, abs(s_acctbal) / 20000 as p from supplier),
+r as (select *, row_number() over (order by p) rk, count(*) over () m from p)
+select s_suppkey, least(1.0, min(p * m / rk) over (order by p desc rows unbounded preceding)) as p_adjusted from r
+"""
+)
+def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 20000).alias("p"))
+    return p.select("s_suppkey", ranks.benjamini_hochberg("p").alias("p_adjusted"))
+
+
+@query(
+    """
+with r as (select c_acctbal x, c_nationkey::double y, rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0::double rx,
+  rank() over (order by c_nationkey) + (count(*) over (partition by c_nationkey) - 1) / 2.0::double ry from customer)
+select corr(x, y) as pearson, corr(rx, ry) as spearman from r
+"""
+)
+def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.spearman(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey")
+
+
+@query(
+    """
+with d as (select toxic, length(text) s from labels join documents using (doc_id)),
+r as (select toxic, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double rk from d)
+select (sum(rk) filter (toxic = 1) - count(*) filter (toxic = 1) * (count(*) filter (toxic = 1) + 1) / 2.0::double) / (count(*) filter (toxic = 1) * count(*) filter (toxic = 0)) as auc from r
+"""
+)
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("s")), "doc_id")
+    return ranks.auc(scored, "toxic", "s")
+
+
+@query(
+    """
+select l_returnflag, count(*) filter (l_linestatus = 'F')::double / count(*) as "as_F", count(*) filter (l_linestatus = 'O')::double / count(*) as "as_O" from lineitem group by 1
+"""
+)
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.confusion(lines(spark, sf_dir), "l_returnflag", "l_linestatus", ["F", "O"])
+
+
+@query(
+    "select 'l_quantity' as x, 'l_extendedprice' as y, covar_pop(l_quantity, l_extendedprice) as cov from lineitem union all select 'l_discount', 'l_tax', covar_pop(l_discount, l_tax) from lineitem"
+)
+def covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, cov = space.moments(lines(spark, sf_dir), MEASURES)
+    return spark.createDataFrame([("l_quantity", "l_extendedprice", float(cov[0, 1])), ("l_discount", "l_tax", float(cov[2, 3]))], "x string, y string, cov double")
+
+
+@query("select unnest(['l_quantity', 'l_discount', 'l_tax']) as feature")
+def correlation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir).withColumn("twice", 2 * F.col("l_quantity"))
+    kept = space.correlation_filter(df, ["l_quantity", "twice", "l_discount", "l_tax"], 0.95)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@query("select unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) as feature, unnest([var_pop(l_quantity), var_pop(l_extendedprice), var_pop(l_discount), var_pop(l_tax)]) as score from lineitem")
+def variance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(space.variances(lines(spark, sf_dir), MEASURES).items()), "feature string, score double")
+
+
+@query(
+    """
+with b as (select min(l_extendedprice) a, max(l_extendedprice) - min(l_extendedprice) w from lineitem),
+c as (select l_returnflag y, least(floor((l_extendedprice - a) / w * 50), 49) x, count(*) c from lineitem, b group by all)
+select 'l_extendedprice' as feature, sum(c / n * ln(c * n / (cx * cy))) as mi from (
+  select c::double c, (sum(c) over (partition by x))::double cx, (sum(c) over (partition by y))::double cy, (sum(c) over ())::double n from c)
+"""
+)
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space.mutual_information(lines(spark, sf_dir), ["l_extendedprice"], "l_returnflag")
+
+
+@query()
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    z = layers.fit_layer(df, MEASURES).apply(df)
+    axes = space.fit_axes(z, MEASURES)
+    return axes.project(z).groupBy("l_returnflag").agg(*[F.avg(f"pc{k}").alias(f"pc{k}") for k in range(1, 5)])
+
+
+@query(
+    """
+with g as (select l_returnflag, count(*) n, avg(l_quantity) cx, avg(l_discount) cy, var_samp(l_quantity) a, var_samp(l_discount) c, covar_samp(l_quantity, l_discount) b from lineitem group by 1)
+select l_returnflag, n, cx, cy, 2 * sqrt(-2 * ln(0.05) * ((a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b))) as width,
+       2 * sqrt(-2 * ln(0.05) * greatest(0, (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b))) as height, degrees(0.5 * atan2(2 * b, a - c)) as angle from g
+"""
+)
+def confidence_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return space.ellipses(lines(spark, sf_dir), "l_returnflag", "l_quantity", "l_discount")
+
+
+_Z = """
+p as (select avg(l_quantity) a1, stddev_pop(l_quantity) s1, avg(l_discount) a2, stddev_pop(l_discount) s2 from lineitem),
+z as (select l_suppkey, (l_quantity - a1) / s1 x, (l_discount - a2) / s2 y from lineitem, p),
+d as (select l_suppkey, sqrt(x * x + y * y) o, sqrt((x - avg(x) over w) ** 2 + (y - avg(y) over w) ** 2) d, x, y from z window w as (partition by l_suppkey))"""
+
+
+@query("with " + _Z + " select l_suppkey, count(*) as n, median(d) as mhi_d, quantile_cont(d, 0.25) as q25, quantile_cont(d, 0.75) as q75 from d group by 1")
+def dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heterogeneity.dispersion(lines(spark, sf_dir), "l_suppkey", ["l_quantity", "l_discount"])
+
+
+@query(
+    "with "
+    + _Z
+    + """
+select l_suppkey, count(*) as n, sqrt(avg(x) ** 2 + avg(y) ** 2) as amhi_offset, median(o) as amhi_median, avg(o) as amhi_mean, stddev_pop(o) as amhi_std,
+       quantile_cont(o, 0.25) as amhi_q25, quantile_cont(o, 0.75) as amhi_q75, median(d) as mhi_d_absolute from d group by 1
+"""
+)
+def absolute_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    return heterogeneity.absolute(df, "l_suppkey", heterogeneity.reference_layer(df, ["l_quantity", "l_discount"]))
+
+
+@query(
+    """
+with e as (select l_suppkey, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) qx, quantile_cont(l_quantity, [0.25, 0.5, 0.75]) qy from lineitem group by 1),
+c as (select l_suppkey, len(list_filter(list_distinct(qx), lambda v: v < l_extendedprice)) a, len(list_filter(list_distinct(qy), lambda v: v < l_quantity)) b, count(*) n from lineitem join e using (l_suppkey) group by all),
+p as (select l_suppkey, n / sum(n) over (partition by l_suppkey) as p from c)
+select l_suppkey, greatest(0.0, least(1.0, -sum(p * ln(p)) / (2 * ln(4)))) as mhi_e_bins from p group by 1
+"""
+)
+def binned_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heterogeneity.binned_entropy(lines(spark, sf_dir), "l_suppkey", ["l_extendedprice", "l_quantity"])
+
+
+@query()
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heterogeneity.structure(lines(spark, sf_dir), "l_suppkey", MEASURES)
+
+
+_DRIFT = """
+t as (select user_id, value as x, epoch_us(ts) / 1e6 as t from events where value > 0),
+b as (select user_id, x, case when t1 > t0 then least(floor((t - t0) / ((t1 - t0) / 10)), 9) else 0 end as bucket from (select *, min(t) over (partition by user_id) t0, max(t) over (partition by user_id) t1 from t)),
+m as (select user_id, bucket, count(*) n, median(log10(x)) med from b group by all having count(*) >= 3),
+g as (select user_id, count(*) n_windows, max_by(med, bucket) - min_by(med, bucket) e, max(med) - min(med) r from m group by 1)"""
+
+
+@query(
+    "with "
+    + _DRIFT
+    + """
+select u.user_id, coalesce(n_windows, 0) as n_windows, case when n_windows >= 2 then e end as end_to_end_log10, case when n_windows >= 2 then r end as full_range_log10,
+       case when n_windows >= 2 then pow(10.0::double, e) end as end_to_end_ratio, case when n_windows >= 2 then pow(10.0::double, r) end as full_range_ratio
+from (select distinct user_id from events) u left join g using (user_id)
+"""
+)
+def acquisition_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return quality.drift(ev, "user_id", "value", "t", 10, 3)
+
+
+@query()
+def effect_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.effect_floor(acquisition_drift(spark, sf_dir))
+
+
+@query(
+    """
+with q as (select quantile_cont(l_extendedprice, [0.99, 0.999, 0.9999]) q from lineitem where l_linestatus = 'F')
+select any_value(q[2]) as threshold, any_value(asinh(q[3] / 250.0::double) - asinh(q[1] / 250.0::double)) as tail_spread, 100 * avg((l_extendedprice > q[2])::int) as pct_positive,
+       100 * avg((l_extendedprice > q[1])::int) - 100 * avg((l_extendedprice > q[3])::int) as sensitivity_points from lineitem, q where l_linestatus = 'O'
+"""
+)
+def stain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    return quality.stain_alerts(df.where("l_linestatus = 'F'"), df.where("l_linestatus = 'O'"), "l_extendedprice")
+
+
+@query(
+    """
+select l_returnflag, count(*) as n, count(*) filter (l_quantity > 1 and l_quantity < 49 and l_extendedprice > 1) as inside, avg(case when l_quantity > 1 and l_quantity < 49 and l_extendedprice > 1 then 2000.0 else 6000.0 end)::double as label
+from lineitem group by 1
+"""
+)
+def scatter_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate = quality.scatter_gate({"l_quantity": 50.0, "l_extendedprice": None})
+    return lines(spark, sf_dir).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(gate, 1)).alias("inside"), F.avg(quality.label_channel(gate)).alias("label")
+    )
+
+
+@query(
+    """
+select count(*) as inside from lineitem where (0 > l_discount) <> (0.08 > l_discount) and l_quantity < 10 + l_discount * ((30 - 10) / 0.08)
+  and not ((0 > l_discount) <> (0.08 > l_discount) and l_quantity < 10)
+"""
+)
+def polygon_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = scalars.in_polygon(F.col("l_quantity"), F.col("l_discount"), [(10.0, 0.0), (30.0, 0.08), (10.0, 0.08)])
+    return lines(spark, sf_dir).where(inside).agg(F.count(F.lit(1)).alias("inside"))
+
+
+@query(
+    """
+with r as (select l_suppkey, b.b as bag, l_quantity, row_number() over (partition by l_suppkey, b.b order by md5('42|' || b.b || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) rk
+  from lineitem, (select unnest(range(0, 3)) as b) b)
+select l_suppkey, bag, count(*) as n_rows, avg(l_quantity) as l_quantity__mean, stddev_samp(l_quantity) as l_quantity__std, median(l_quantity) as l_quantity__median from r where rk <= 20 group by all
+"""
+)
+def bagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    order = F.md5(F.concat_ws("|", F.lit("42"), F.col("bag").cast("string"), *[F.col(c).cast("string") for c in KEY[:3]]))
+    w = Window.partitionBy("l_suppkey", "bag").orderBy(order, *KEY[:3], "l_quantity", "l_extendedprice")
+    drawn = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rk", F.row_number().over(w)).where("rk <= 20")
+    return drawn.groupBy("l_suppkey", F.col("bag").cast("long").alias("bag")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[models.BAG_STATISTICS[s]("l_quantity").alias(f"l_quantity__{s}") for s in ("mean", "std", "median")]
+    )
+
+
+@query()
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.bags(lines(spark, sf_dir), "l_suppkey", MEASURES[:2], 3, 20, KEY, ("mean", "std", "median", "skew"))
+
+
+@query(
+    """
+select l_suppkey, count(*) as n_rows, count(*) < 600 as needs_replacement, count(*) * (1 - pow(1 - 1 / count(*)::double, 600)) as expected_distinct, floor(count(*) / 600.0)::bigint as disjoint_bags from lineitem group by 1
+"""
+)
+def sampling_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.sampling_plan(lines(spark, sf_dir), "l_suppkey", 600)
+
+
+_CENTRES = ((10.0, 0.02), (25.0, 0.05), (40.0, 0.08))
+
+
+@query(
+    """
+select cluster, count(*) as n from (select 'Cluster_' || (1 + list_position([d1, d2, d3], least(d1, d2, d3)) - 1) as cluster from (
+  select sqrt((l_quantity - 10) ** 2 + (l_discount - 0.02) ** 2) d1, sqrt((l_quantity - 25) ** 2 + (l_discount - 0.05) ** 2) d2, sqrt((l_quantity - 40) ** 2 + (l_discount - 0.08) ** 2) d3 from lineitem)) group by 1
+"""
+)
+def predict_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = models.Clusters.from_json(models.Clusters(("l_quantity", "l_discount"), _CENTRES, 0.0).to_json())
+    return model.assign(lines(spark, sf_dir)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def fit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    z = layers.fit_layer(df, MEASURES).apply(df, "_z")
+    model = models.fit_clusters(z, [f"{f}_z" for f in MEASURES], 3, KEY)
+    return models.cluster_proportions(model.assign(z), "l_suppkey", "cluster")
+
+
+@query(
+    """
+with c as (select l_suppkey, l_returnflag, count(*) c from lineitem group by all),
+g as (select * from (select distinct l_suppkey from c), (select distinct l_returnflag from c)),
+f as (select l_suppkey, l_returnflag, coalesce(c, 0) c, 100.0 * coalesce(c, 0) / sum(coalesce(c, 0)) over (partition by l_suppkey) pct from g left join c using (l_suppkey, l_returnflag))
+select l_returnflag, sum(c)::bigint as c, avg(pct)::double as mean_pct, stddev_samp(pct)::double as sd_pct, median(pct)::double as median_pct, 100.0 * sum(c) / (select sum(c) from f) as pct_of_all from f group by 1
+"""
+)
+def cluster_proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cluster_proportions(lines(spark, sf_dir), "l_suppkey", "l_returnflag")
+
+
+@query(
+    """
+select unnest(['l_quantity', 'l_tax']) as feature, unnest([avg(l_quantity) - any_value(m1), avg(l_tax) - any_value(m2)]) as mean_shift,
+  unnest([avg((l_quantity < a1 or l_quantity > b1)::int), avg((l_tax < a2 or l_tax > b2)::int)]) as outside, false as flagged
+from (select * from lineitem where l_linestatus = 'O'), (select avg(l_quantity) m1, min(l_quantity) a1, max(l_quantity) b1, avg(l_tax) m2, min(l_tax) a2, max(l_tax) b2 from lineitem where l_linestatus = 'F')
+"""
+)
+def training_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    return models.drift_from_training(df.where("l_linestatus = 'O'"), df.where("l_linestatus = 'F'"), ["l_quantity", "l_tax"])
+
+
+@query()
+def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.nearest_centroid_by_group(lines(spark, sf_dir), ["l_quantity", "l_tax"], "l_returnflag", "l_suppkey")
+
+
+@query()
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir).withColumn("half", (F.col("l_suppkey") % 2).cast("string"))
+    return models.permutation_test(df, "l_suppkey", "half", "l_quantity", rounds=200)
+
+
+@query("select 'l_quantity' as feature, avg(abs(2 * (l_quantity - m))) as importance from lineitem, (select avg(l_quantity) m from lineitem)")
+def linear_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.linear_attributions(lines(spark, sf_dir), {"l_quantity": 2.0})
+
+
+_NAMES = "concat_ws('_', 'WORM', lpad((s_suppkey % 999 + 1)::varchar, 3, '0'), 'D08', case when s_suppkey % 2 = 0 then 'AL' else 'IF' end, case s_suppkey % 3 when 0 then 'PGM_ADP_30min_DR' when 1 then 'PGM_TMRM_DR' else 'ND_NM' end)"
+
+
+@query(
+    f"""
+select s_suppkey, {_NAMES} as name, lpad((s_suppkey % 999 + 1)::varchar, 3, '0') as subject_id, 8 as age, case when s_suppkey % 2 = 0 then 'AL' else 'IF' end as diet,
+  case s_suppkey % 3 when 0 then 'MtDeepRed' when 1 then 'TMRM+MtDeepRed' else 'Not_Marked' end as marker, case s_suppkey % 3 when 2 then 'Not_Diluted' else 'Diluted' end as dilution,
+  case s_suppkey % 3 when 0 then 'PGM_ADP_30min' when 1 then 'PGM' else 'No_addition' end as condition, (case s_suppkey % 3 when 0 then 2 when 1 then 1 else 0 end)::bigint as additions,
+  case s_suppkey % 3 when 0 then 30.0::double end as minutes from supplier
+"""
+)
+def file_name_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.concat_ws(
+        "_", F.lit("WORM"), F.format_string("%03d", k % 999 + 1), F.lit("D08"), F.when(k % 2 == 0, "AL").otherwise("IF"),
+        F.when(k % 3 == 0, "PGM_ADP_30min_DR").when(k % 3 == 1, "PGM_TMRM_DR").otherwise("ND_NM"),
+    )
+    t = tokens.words(F.col("name"))
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name")).withColumn("c", tokens.condition(t, ["PGM", "ADP"], ["WORM"]))
+    return made.select(
+        "s_suppkey", "name", tokens.subject_id(t).alias("subject_id"), tokens.age(t).alias("age"), tokens.one_of(t, tokens.DIETS).alias("diet"),
+        tokens.marker(t).alias("marker"), tokens.dilution(t).alias("dilution"), "c.condition", "c.additions", "c.minutes",
+    )
+
+
+@query(
+    """
+with f as (select p_partkey, p_brand || '_' || split_part(p_type, ' ', 1) as stem, p_partkey % 5 = 0 as un, p_partkey % 2 as v from part),
+s as (select p_partkey, stem || '_' || v || '_S' || p_partkey as f, stem, v from f where not un), u as (select stem || '_' || v || '_U' || p_partkey as f, stem, v from f where un),
+j as (select s.f sf, u.f uf, case when s.v = u.v then 1 else 0 end + 2 as c from s left join u using (stem)),
+t as (select *, max(case when uf is not null then c end) over (partition by sf) m from j)
+select sf as stained_file, min(uf) as unstained_file, max(case when uf is not null then c end) as common_tokens, count(uf) > 1 as several from t where uf is null or c = m group by sf
+"""
+)
+def best_prefix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.concat(F.regexp_replace("p_brand", "_", ""), F.lit("_"), F.split("p_type", " ")[0], F.lit("_"), (F.col("p_partkey") % 2).cast("string"))
+    unstained = F.col("p_partkey") % 5 == 0
+    names = table(spark, sf_dir, "part").select(F.concat(stem, F.when(unstained, "_U").otherwise("_S"), F.col("p_partkey").cast("string")).alias("file"))
+    return quality.best_pairs(names, F.col("file").rlike("_S[0-9]+$"))
+
+
+@query(
+    """
+select o_orderkey, o_custkey, c_name, c_acctbal from orders left join (select * from customer where c_custkey % 2 = 0) on o_custkey = c_custkey
+"""
+)
+def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(side, "o_custkey", "left")
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def unmatched_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+
+
+@query("select c_nationkey as nation from customer intersect select s_nationkey from supplier")
+def shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query()
+def tree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of the nations' profiles against the fixed species tree: one row per method, metric and standardisation."""
+    per = aggregates.nested(
+        table(spark, sf_dir, "customer").where("c_nationkey < 6").withColumn("len", F.length("c_mktsegment").cast("double")), ["c_acctbal", "len"], ["c_custkey"], ["c_nationkey"]
+    ).orderBy("c_nationkey").toPandas()  # a row per group
+    m = per[["c_acctbal", "len"]].to_numpy(dtype=float)
+    m = np.column_stack([m, m[:, 0] * m[:, 1]])
+    n = len(m)
+    fixed = trees.linkage(np.array([trees.DIVERGENCE[s][:n] for s in trees.SPECIES[:n]]))
+    out = []
+    for scaled in (False, True):
+        x = (m - m.mean(axis=0)) / np.where(m.std(axis=0) == 0, 1, m.std(axis=0)) if scaled else m
+        for method in trees.METHODS:
+            for metric in ("correlation", "euclidean", "cosine"):
+                tree = trees.linkage(trees.distances(x, metric), method)
+                gamma, p = trees.baker_gamma(fixed, tree, n)
+                out.append((scaled, method, metric, gamma, p, trees.newick(tree, trees.SPECIES[:n])))
+    return spark.createDataFrame(out, "standardized boolean, method string, metric string, baker_gamma double, p double, tree string").orderBy(F.desc_nulls_last("baker_gamma"))
+
+
+@query()
+def preprocessing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = preprocessing.Plan(
+        filters={"l_linestatus": ["F"]}, per_subject=50, subject="l_suppkey", key=KEY, methods=("CorrFilter", "MIM"), top=3, label="l_returnflag", transform="arcsinh"
+    )
+    out, chosen, _ = preprocessing.run(lines(spark, sf_dir), MEASURES, plan)
+    return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"{f}_z").alias(f) for f in chosen])
+
+
+@query(
+    """
+select event_type, time_bucket(interval '1 day', ts) as window_start, count(*) as n, avg(value) as mean, stddev_pop(value) as sd from events group by all
+"""
+)
+def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = incremental.windowed_stats(table(spark, sf_dir, "events"), "ts", "value", by=("event_type",))
+    return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    """
+with b as (select l_returnflag g, min(l_quantity) a, max(l_quantity) b from lineitem group by 1)
+select g as grp, least(floor((l_quantity - a) / ((b - a) / 10)), 9)::int as bin, count(*) / (any_value(n) * any_value((b - a) / 10)) as density
+from lineitem join b on l_returnflag = g join (select l_returnflag as h, count(*) n from lineitem group by 1) on g = h group by all
+"""
+)
+def histogram_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir).select(F.col("l_returnflag").alias("grp"), "l_quantity")
+    span = df.groupBy("grp").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.count(F.lit(1)).alias("n"))
+    width = (F.col("b") - F.col("a")) / 10
+    binned = df.join(span, "grp").groupBy("grp", F.least(F.floor((F.col("l_quantity") - F.col("a")) / width), F.lit(9)).cast("int").alias("bin"))
+    return binned.agg((F.count(F.lit(1)) / (F.first("n") * F.first(width))).alias("density"))
+
+
+@query(
+    """
+select l_linestatus, regr_slope(q, b) as slope, regr_intercept(q, b) as intercept, regr_count(q, b) as n from (
+  select l_linestatus, l_suppkey, median(l_quantity) q, any_value(s_acctbal) b from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2) group by 1
+"""
+)
+def feature_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = lines(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    per = rows_.groupBy("l_linestatus", "l_suppkey").agg(F.median("l_quantity").alias("q"), F.first("s_acctbal").alias("b"))
+    return per.groupBy("l_linestatus").agg(F.regr_slope("q", "b").alias("slope"), F.regr_intercept("q", "b").alias("intercept"), F.regr_count("q", "b").alias("n"))
+
+
+@query("select l_returnflag, l_linestatus, l_returnflag || ' / ' || l_linestatus as label, count(*) as n from lineitem group by all")
+def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = scalars.joined_label(F.col("l_returnflag"), F.col("l_linestatus"))
+    return lines(spark, sf_dir).groupBy("l_returnflag", "l_linestatus", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))

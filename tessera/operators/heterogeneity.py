@@ -74,7 +74,8 @@ def binned_entropy(df: DataFrame, group: str, features: Sequence[str], bins: int
     rows = _big_enough(df, group)
     inner = [k / bins for k in range(1, bins)]
     edges = rows.groupBy(group).agg(*[F.percentile(f, inner).alias(f"_e_{f}") for f in features])
-    cell = F.concat_ws("|", *[F.size(F.filter(F.array_distinct(f"_e_{f}"), lambda e, f=f: e < F.col(f))).cast("string") for f in features])
+    below = lambda f: F.size(F.filter(F.array_distinct(f"_e_{f}"), lambda e: e < F.col(f)))
+    cell = F.concat_ws("|", *[below(f).cast("string") for f in features])
     counts = rows.join(edges, group).groupBy(group, cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
     p = F.col("c") / F.sum("c").over(Window.partitionBy(group))
     total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("h") / (len(features) * math.log(bins))))
@@ -139,7 +140,7 @@ def dip(values: np.ndarray) -> float:
         low, high = low + int(new_low), low + int(new_high)
 
 
-def gaussian_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def gaussian_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Full-covariance mixture by EM: log-likelihood, weights, means, covariances."""
     n, d = x.shape
     rng = np.random.default_rng(seed)

@@ -64,7 +64,7 @@ class Clusters:
         return Clusters(tuple(data["features"]), tuple(map(tuple, data["centroids"])), data["atypical"])
 
 
-def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[str], starts: int = 5, rounds: int = 30, sample: int = 10_000, seed: int = 42) -> Clusters:
+def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[str], starts: int = 5, rounds: int = 12, sample: int = 10_000, seed: int = 42) -> Clusters:
     """k-means: starts chosen on a bounded sample (in digest order, k-means++), then Lloyd steps over all rows as aggregates."""
     features = list(features)
     rows = df.dropna(subset=features).select(*features, *[c for c in key if c not in features])

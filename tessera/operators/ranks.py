@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import effect_label
 from ..functions.special import chi2_sf, normal_sf
@@ -48,12 +49,12 @@ def rank_sums(long: DataFrame) -> DataFrame:
     return sums.join(ties, "feature")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: min(1.0, 2 * normal_sf(x)), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for h, df in parts:
         yield pd.Series([float("nan") if x != x or x is None else chi2_sf(x, d) for x, d in zip(h, df, strict=True)], dtype="float64")
