@@ -14,8 +14,7 @@ with the weights sent along, without a shuffle.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,15 +80,15 @@ class Model:
 
 
 def fit(
-    texts: list[frozenset[str] | set[str]],
-    labels: list[int],
+    texts: Iterable[Iterable[str]],
+    labels: Sequence[int],
     penalty: float = 1.0,
     groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
     max_features: int = 3000,
     ridge: float = 1e-4,
     steps: int = 400,
 ) -> Model:
-    """Fit on the word sets of texts. penalty weighs the mean squared change of the logit under swaps.
+    """Fit on the distinct words of texts, which are gone through once. penalty weighs the mean squared change of the logit under swaps.
 
     Without both labels the score is the smoothed share of label 1 for every text.
     """
@@ -98,46 +97,59 @@ def fit(
     bias = float(np.log(prior / (1 - prior)))
     if n == 0 or y.min() == y.max():
         return Model(bias)
-    present = [set().union(*(features_of(w) for w in sorted(ws))) if ws else set() for ws in texts]
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for fs, label in zip(present, labels, strict=True):
-        count[int(label)].update(fs)
+    swaps = {t: [o for o in g if o != t] for g in groups for t in g}
+    number: dict[str, int] = {}  # of a feature
+    of_word: dict[str, tuple[int, ...]] = {}
+    present: list[np.ndarray] = []  # features of a text, by number
+    mentions: list[tuple[str, frozenset[str]]] = []  # an identity term and the words of its text
+    for ws in texts:
+        words = frozenset(ws)
+        for w in words:
+            if w not in of_word:
+                of_word[w] = tuple(number.setdefault(f, len(number)) for f in features_of(w))
+        present.append(np.unique(np.fromiter((k for w in words for k in of_word[w]), dtype=np.int32)))
+        mentions += [(t, words) for t in sorted(words & swaps.keys())]
+    del of_word
+    if len(present) != n:
+        raise ValueError("as many texts as labels are needed")
+
     n1 = y.sum()
     n0 = n - n1
-
-    def strength(f: str) -> float:
-        """Two-sample z of the shares of the texts that have f."""
-        a, b = count[1][f], count[0][f]
-        share = (a + b) / n
-        return abs(a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-
-    # a feature in fewer than 4 texts says little; ties fall to the longer, then the alphabet
-    ranked = sorted(
-        ((strength(f), f) for f in count[0].keys() | count[1].keys() if count[0][f] + count[1][f] >= 4),
-        key=lambda x: (-x[0], -len(x[1]), x[1]),
-    )
-    chosen = sorted(f for z, f in ranked[:max_features] if z > 3.5)
+    width = len(number)
+    one = np.bincount(np.concatenate([p for p, v in zip(present, y, strict=True) if v]), minlength=width)
+    zero = np.bincount(np.concatenate([p for p, v in zip(present, y, strict=True) if not v]), minlength=width)
+    share = (one + zero) / n
+    # two-sample z of the shares of the texts that have a feature; one in fewer than 4 texts says little
+    z = np.abs(one / n1 - zero / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    z[one + zero < 4] = 0
+    strong = {k: float(z[k]) for k in np.flatnonzero(z > 3.5)}
+    # ties fall to the longer, then the alphabet
+    ranked = sorted(((strong[k], f) for f, k in number.items() if k in strong), key=lambda x: (-x[0], -len(x[1]), x[1]))
+    chosen = sorted(f for _, f in ranked[:max_features])
     place = {f: k for k, f in enumerate(chosen)}
     if not chosen:
         return Model(bias)
-
-    rows = [sorted(place[f] for f in fs if f in place) for fs in present]
-    at = np.fromiter((j for r in rows for j in r), dtype=np.int64)
+    column = np.full(width, -1, dtype=np.int64)
+    for f, k in place.items():
+        column[number[f]] = k
+    del number
+    rows = [c[c >= 0] for c in (column[p] for p in present)]
+    del present
+    at = np.concatenate(rows)
     of = np.repeat(np.arange(n), [len(r) for r in rows])
 
     # logit changes under swaps, as sparse rows of +1 and -1
-    swaps = {t: [o for o in g if o != t] for g in groups for t in g}
     d_at, d_of, d_by, m = [], [], [], 0
-    for ws, fs in zip(texts, present, strict=True):
-        for term in sorted(ws & swaps.keys()):
-            rest = set().union(*(features_of(w) for w in ws if w != term)) if len(ws) > 1 else set()
-            for other in swaps[term]:
-                for f in fs ^ (rest | set(features_of(other))):
-                    if f in place:
-                        d_at.append(place[f])
-                        d_of.append(m)
-                        d_by.append(1.0 if f in fs else -1.0)
-                m += 1
+    for term, words in mentions:
+        rest = {f for w in words if w != term for f in features_of(w) if f in place}
+        before = rest | {f for f in features_of(term) if f in place}
+        for other in swaps[term]:
+            after = rest | {f for f in features_of(other) if f in place}
+            for f in sorted(before ^ after):
+                d_at.append(place[f])
+                d_of.append(m)
+                d_by.append(1.0 if f in before else -1.0)
+            m += 1
     d_at, d_of, d_by = np.array(d_at, dtype=np.int64), np.array(d_of, dtype=np.int64), np.array(d_by)
 
     w, b = np.zeros(len(chosen)), bias
@@ -189,9 +201,8 @@ def train(
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = chosen.mapInPandas(bags, f"doc_id {kind}, y int, w string").toPandas().sort_values(["doc_id", "w"])
-    got = got.head(sample)
-    return fit([set(w.split()) for w in got["w"]], got["y"].tolist(), penalty)
+    got = chosen.mapInPandas(bags, f"doc_id {kind}, y int, w string").toArrow().sort_by([("doc_id", "ascending"), ("w", "ascending")])[:sample]
+    return fit((w.as_py().split() for w in got["w"]), got["y"].to_pylist(), penalty)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
