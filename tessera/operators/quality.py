@@ -108,9 +108,8 @@ def best_pairs(names: DataFrame, stained: Column, ignore: Sequence[str] = ()) ->
 def rate_bins(time: np.ndarray, step: float, fraction: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Counts by right-closed bins, with an empty one in front, and each event's bin (from 2)."""
     width = fraction / step
-    n = max(1, math.ceil(math.ceil(time.max() * step) / fraction - 1e-9))
     ids = np.maximum(np.ceil(time / width - 1e-12), 1).astype(int)
-    n = max(n, int(ids.max()))
+    n = int(ids.max())
     return np.concatenate([[0], np.bincount(ids, minlength=n + 1)[1:]]), ids + 1
 
 

@@ -47,7 +47,7 @@ def test_sample_with_replacement(spark):
 
 
 def test_mann_whitney_p(spark):
-    a, b = [1.0, 2, 3, 4, 5, 6], [4.0, 5, 6, 7, 8, 9]
+    a, b = [float(v) for v in range(1, 7)], [float(v) for v in range(4, 10)]
     df = spark.createDataFrame([("x", v) for v in a] + [("y", v) for v in b] + [("y", None)], "g string, v double")
     r = ranks.compare_groups(df, "g", ["v"]).first()
     assert (r["statistic"], r["effect"]) == (4.5, 0.75)
