@@ -11,9 +11,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scalars, tokens
-from .operators import aggregates, heterogeneity, layers, models, quality, ranks, rows, space, trees
+from .functions import images, scalars, tokens
+from .operators import aggregates, attention, chimeras, density, heterogeneity, layers, learners, maps, models, quality, ranks, rows, significance, space, trees
 from .plans import preprocessing
+from .sources import reports
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -726,3 +727,176 @@ def feature_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = scalars.joined_label(F.col("l_returnflag"), F.col("l_linestatus"))
     return lines(spark, sf_dir).groupBy("l_returnflag", "l_linestatus", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_IMAGE = """case s_suppkey % 4 when 0 then 'KFishYoung1fish' || (s_suppkey + 100) || 'x1200grille2Dfield2' when 1 then 'Oldkilli' || (s_suppkey + 1000) || 'Grille4bx1200field7'
+  when 2 then 'SourisJ3_Prot' || (s_suppkey + 1500) || '_Ech1755_Grille13E_x1500_field_19' else 'WormIFold' || (s_suppkey % 9) || 'Grille3_field1' end || '_MITO_measurements.txt'"""
+
+
+@query(
+    f"""
+select s_suppkey, {_IMAGE} as name, ['KFish', 'KFish', 'Mouse', 'Worm'][(s_suppkey % 4 + 1)::int] as specie, case s_suppkey % 4 when 0 then 'Young' when 1 then 'Old' when 3 then 'Old' end as condition,
+  case s_suppkey % 4 when 3 then 'IF' end as diet, [s_suppkey + 100, s_suppkey + 1000, s_suppkey + 1500, s_suppkey % 9][(s_suppkey % 4 + 1)::int]::varchar as subject_id from supplier
+"""
+)
+def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, of = F.col("s_suppkey"), lambda n: (F.col("s_suppkey") + n).cast("string")
+    name = (
+        F.when(k % 4 == 0, F.concat(F.lit("KFishYoung1fish"), of(100), F.lit("x1200grille2Dfield2")))
+        .when(k % 4 == 1, F.concat(F.lit("Oldkilli"), of(1000), F.lit("Grille4bx1200field7")))
+        .when(k % 4 == 2, F.concat(F.lit("SourisJ3_Prot"), of(1500), F.lit("_Ech1755_Grille13E_x1500_field_19")))
+        .otherwise(F.concat(F.lit("WormIFold"), (k % 9).cast("string"), F.lit("Grille3_field1")))
+    )
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(name, F.lit("_MITO_measurements.txt")).alias("name")).withColumn("m", images.metadata(F.col("name")))
+    return made.select("s_suppkey", "name", "m.specie", "m.condition", "m.diet", F.col("m.subject_ID").alias("subject_id"))
+
+
+@query(
+    "with "
+    + _RANKED.format(g="l_returnflag")
+    + """,
+t as (select feature, sum(n)::double n, max(ties)::double ties from s join ties using (feature) group by feature)
+select a.feature, a.grp as a, b.grp as b, (a.rs / a.n - b.rs / b.n) / sqrt((t.n * (t.n + 1) / 12 - t.ties / (12 * (t.n - 1))) * (1.0::double / a.n + 1.0::double / b.n)) as z
+from s a join s b on a.feature = b.feature and a.grp < b.grp join t on t.feature = a.feature
+"""
+)
+def dunn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return significance.dunn(lines(spark, sf_dir), "l_returnflag", MEASURES).select("feature", "a", "b", "z")
+
+
+@query()
+def subject_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = lines(spark, sf_dir).groupBy("l_suppkey").agg(F.avg("l_quantity").alias("mean"), F.median("l_tax").alias("tax"))
+    return significance.subject_tests(per.withColumn("part", F.col("l_suppkey") % 3), "part", ["mean", "tax"], permutations=2000)
+
+
+@query(
+    """
+with p as (select regr_count(c_acctbal, c_nationkey) n, regr_slope(c_acctbal, c_nationkey) m, regr_intercept(c_acctbal, c_nationkey) k, regr_sxx(c_acctbal, c_nationkey) sxx, regr_syy(c_acctbal, c_nationkey) syy,
+  regr_sxy(c_acctbal, c_nationkey) sxy, avg(c_nationkey) mean, min(c_nationkey) a, max(c_nationkey) b from customer),
+g as (select i::int as i, a + i * (b - a) / 9.0::double as x, * exclude (a, b) from p, range(10) r(i))
+select g.i, x, k + m * x as fit, sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0::double / n + (x - mean) ** 2 / sxx)) as se from g
+"""
+)
+def regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return significance.regression_band(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 10).select("i", "x", "fit", "se")
+
+
+@query(
+    """
+with s as (select l_returnflag grp, count(*) n, stddev_samp(l_quantity) * pow(count(*), -0.2::double) h, min(l_quantity) lo, max(l_quantity) hi from lineitem group by 1),
+c as (select l_returnflag grp, l_quantity v, count(*) c from lineitem group by all),
+g as (select grp, n, h, i::int as i, lo - 0.05::double * (hi - lo) + i * ((hi - lo) * 1.1::double / 99) as x from s, range(100) r(i))
+select grp, i, any_value(x) as x, sum(c * exp(-0.5::double * ((x - v) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) as density from g join c using (grp) group by grp, i
+"""
+)
+def density_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.density_curve(lines(spark, sf_dir), "l_returnflag", "l_quantity", 100)
+
+
+@query(
+    """
+with l as (select l_returnflag, l_linestatus, unnest(['l_quantity', 'l_tax']) as feature, unnest([l_quantity, l_tax]) as v from lineitem)
+select l_returnflag, l_linestatus, feature, count(*) as n, min(v) as minimum, quantile_cont(v, 0.25) as q25, median(v) as median, quantile_cont(v, 0.75) as q75, max(v) as maximum from l group by all
+"""
+)
+def violin_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.violin(lines(spark, sf_dir), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_tax"])
+
+
+@query(
+    """
+select l_returnflag as cluster, count(*) as n, round(100 * avg((l_linestatus = 'F')::int), 1) as pct_young, round(100 * avg((l_linestatus = 'O')::int), 1) as pct_old, avg(l_quantity) as l_quantity from lineitem group by 1
+"""
+)
+def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.profiles(lines(spark, sf_dir).withColumnRenamed("l_returnflag", "cluster"), "cluster", ["l_quantity"], "l_linestatus", "F", "O")
+
+
+_MIXED = """
+n as (select least(count(*) filter (o_orderpriority = '1-URGENT'), count(*) filter (o_orderpriority = '5-LOW')) as n from orders),
+p as (select ratio, repeat, floor(n * ratio)::int as a, n - floor(n * ratio)::int as b from n, (select unnest([0.2, 0.5]::double[]) as ratio), range(2) r(repeat)),
+k as (select o.*, ratio, repeat, row_number() over (partition by o_orderpriority, ratio, repeat order by md5(concat_ws('|', (42 + repeat)::varchar, o_orderkey::varchar)), o_orderkey) <= case o_orderpriority when '1-URGENT' then a else b end as taken
+      from orders o, p where o_orderpriority in ('1-URGENT', '5-LOW')),
+m as (select 'chimera_1-URGENTx5-LOW_r' || printf('%.2f', ratio) || '_' || repeat as subject, * from k where taken)"""
+
+
+@query("with " + _MIXED + " select subject, count(*) as n, avg(o_totalprice) as mean, sum(o_orderkey)::bigint as keys from m group by 1")
+def chimera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chimeras.chimeras(table(spark, sf_dir, "orders"), "o_orderpriority", "1-URGENT", "5-LOW", ["o_orderkey"], (0.2, 0.5), 2)
+    return made.groupBy(F.col("o_orderpriority").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.sum("o_orderkey").alias("keys"))
+
+
+@query()
+def chimera_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chimeras.validate(table(spark, sf_dir, "orders"), "o_orderpriority", "1-URGENT", "5-LOW", ["o_totalprice", "o_custkey"], ["o_orderkey"], repeats=2)
+
+
+@query(
+    """
+with s as (select avg(o_totalprice) a1, stddev_pop(o_totalprice) s1, avg(o_custkey) a2, stddev_pop(o_custkey) s2 from orders),
+z as (select o_orderpriority, o_orderkey, (o_totalprice - a1) / s1 x, (o_custkey - a2) / s2 y from orders, s),
+r as (select *, row_number() over (partition by o_orderpriority, repeat order by md5(concat_ws('|', (42 + repeat)::varchar, o_orderkey::varchar)), o_orderkey) rk from z, range(3) q(repeat)),
+d as (select o_orderpriority, repeat, size, sqrt((x - avg(x) over w) ** 2 + (y - avg(y) over w) ** 2) d from r, (select unnest([20, 50]) as size) where rk <= size window w as (partition by o_orderpriority, repeat, size)),
+m as (select o_orderpriority, repeat, size, median(d) d from d group by all)
+select o_orderpriority, size, avg(d) as mean_d, 100 * stddev_samp(d) / avg(d) as cv, 100 * stddev_samp(d) / avg(d) < 5 as stable from m group by o_orderpriority, size
+"""
+)
+def dispersion_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chimeras.sensitivity(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice", "o_custkey"], ["o_orderkey"], (20, 50), 3)
+
+
+@query(
+    """
+select o_orderkey, (floor(o_totalprice) - 1000) * (o_custkey + 10) / 2.0::double as o_totalprice__shap, (o_custkey - 10) * (floor(o_totalprice) + 1000) / 2.0::double as o_custkey__shap from orders
+"""
+)
+def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    product = lambda df: df.withColumn("score", F.col("o_totalprice") * F.col("o_custkey"))
+    whole = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.floor("o_totalprice"))  # whole numbers: sums are exact
+    return learners.shapley(whole, ["o_totalprice", "o_custkey"], ["o_orderkey"], product, {"o_totalprice": 1000.0, "o_custkey": 10.0})
+
+
+def _bag_table(spark: SparkSession, sf_dir: str, n_bags: int = 4) -> tuple[DataFrame, list[str]]:
+    """Bags of supplier rows whose discounts depend on the label, so that there is something to learn."""
+    half = F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd")
+    shifted = lines(spark, sf_dir).withColumn("l_discount", F.col("l_discount") + F.when(F.col("l_suppkey") % 2 == 0, 0.02).otherwise(0.0))
+    made = models.bags(shifted, "l_suppkey", MEASURES, n_bags, 30, KEY)
+    return made.withColumn("label", half).persist(), [f"{f}__{s}" for f in MEASURES for s in ("mean", "std")]
+
+
+@query()
+def held_out_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, features = _bag_table(spark, sf_dir)
+    return learners.class_scores(learners.held_out_predictions(df, features, "label", "l_suppkey", "RandomForest", folds=3))
+
+
+@query()
+def held_out_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, features = _bag_table(spark, sf_dir)
+    target = df.withColumn("target", (F.col("l_suppkey") % 2).cast("double"))
+    return learners.subject_scores(learners.held_out_predictions(target, features, "target", "l_suppkey", "ElasticNet", "regression", folds=3), "l_suppkey")
+
+
+@query()
+def subset_challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, features = _bag_table(spark, sf_dir)
+    named = {"means": [f for f in features if f.endswith("mean")], "spreads": [f for f in features if f.endswith("std")]}
+    return learners.subset_challenge(df, named, "label", "l_suppkey", name="ElasticNet", folds=3)
+
+
+@query()
+def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = lines(spark, sf_dir).withColumn("label", F.col("l_suppkey") % 2)
+    return attention.attention_weights(rows_, MEASURES, "l_suppkey", "label", KEY, folds=3, rows=50, epochs=20, patience=5)
+
+
+@query()
+def neighbour_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, features = _bag_table(spark, sf_dir)
+    return maps.fit_map(df, features, "l_suppkey", ["l_suppkey", "bag"]).apply(df).select("l_suppkey", "bag", "map_1", "map_2")
+
+
+@query("select unnest(['o_orderkey', 'o_orderstatus']) as \"column\", unnest(['bigint', 'string']) as type, count(*) as n, 0::bigint as missing, unnest([min(o_orderkey)::varchar, min(o_orderstatus)]) as minimum from orders")
+def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.inspect(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")).select("column", "type", "n", "missing", "minimum")

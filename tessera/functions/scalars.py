@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,3 +71,8 @@ def in_polygon(x: Column, y: Column, vertices: Sequence[tuple[float, float]]) ->
             over = (F.lit(y1) > y) != (F.lit(y2) > y)
             crossings = crossings + (over & (x < F.lit(x1) + (y - y1) * F.lit((x2 - x1) / (y2 - y1)))).cast("int")
     return crossings % 2 == 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body refers to it."""
+    return F.transform(F.array(value), body)[0]
