@@ -76,3 +76,10 @@ def in_polygon(x: Column, y: Column, vertices: Sequence[tuple[float, float]]) ->
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body refers to it."""
     return F.transform(F.array(value), body)[0]
+
+
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over the rows that have both, null where either has no spread there."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    scale = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.when(scale > 0, scale)

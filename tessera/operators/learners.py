@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_corr
 from . import ranks
 from .models import fold_of
 
@@ -40,7 +41,7 @@ def _classifier(name: str, classes: int, width: int, seed: int):
     if name == "MLP":
         return mlc.MultilayerPerceptronClassifier(**c, layers=[width, 64, 32, classes], maxIter=200, seed=seed)
     if name == "SVM":
-        linear = mlc.LinearSVC(**c, regParam=0.01)
+        linear = mlc.LinearSVC(**c, regParam=0.01, maxIter=20)
         return linear if classes == 2 else mlc.OneVsRest(**c, classifier=linear)
     raise ValueError(f"unknown classifier {name}")
 
@@ -67,8 +68,9 @@ def rbf_features(x: Column, width: int, n: int = 128, gamma: float | None = None
     gamma = gamma or 1 / width
     rng = np.random.default_rng(seed)
     w, b = rng.normal(scale=math.sqrt(2 * gamma), size=(n, width)), rng.uniform(0, 2 * math.pi, size=n)
-    dot = lambda row: F.aggregate(F.zip_with(x, F.array(*map(F.lit, row.tolist())), lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
-    return F.array(*[F.cos(dot(w[i]) + float(b[i])) * math.sqrt(2 / n) for i in range(n)])
+    table = F.array(*[F.struct(F.array(*map(F.lit, w[i].tolist())).alias("w"), F.lit(float(b[i])).alias("b")) for i in range(n)])
+    dot = lambda row: F.aggregate(F.zip_with(x, row, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
+    return F.transform(table, lambda r: F.cos(dot(r["w"]) + r["b"]) * math.sqrt(2 / n))
 
 
 class Neighbours:
@@ -185,7 +187,7 @@ def subject_scores(predictions: DataFrame, subject: str) -> DataFrame:
     per = predictions.groupBy(subject).agg(F.avg("prediction").alias("p"), F.avg("_y").alias("y"))
     gap = F.col("p") - F.col("y")
     r2 = 1 - F.sum(gap * gap) / (F.var_pop("y") * F.count(F.lit(1)))
-    return per.agg(F.count(F.lit(1)).alias("n"), F.when(F.var_pop("y") > 0, r2).alias("r2"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.corr("p", "y").alias("pearson"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.when(F.var_pop("y") > 0, r2).alias("r2"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), safe_corr("p", "y").alias("pearson"))
 
 
 def subset_challenge(df: DataFrame, subsets: Mapping[str, Sequence[str]], label: str, group: str, **options) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import effect_label
+from ..functions.scalars import effect_label, safe_corr
 from ..functions.special import chi2_sf, normal_sf
+from .ordered import counts_below
 
 
-def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    """Rank with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+def average_ranks(by_value: DataFrame) -> DataFrame:
+    """Rows (feature, value, t, rank): rank with ties averaged, from a row per distinct value that t rows have."""
+    return counts_below(by_value, "feature", "value", "t").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2).drop("below")
 
 
 def benjamini_hochberg(p: str, by: Sequence[str] = ()) -> Column:
@@ -41,8 +42,7 @@ def rank_sums(long: DataFrame) -> DataFrame:
     """
     known = long.where("value is not null")
     by_value = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t"))
-    before = F.sum("t").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by_value.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = average_ranks(by_value)
     ties = by_value.groupBy("feature").agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     per = known.groupBy("feature", "value", "grp").agg(F.count(F.lit(1)).alias("k"))
     sums = per.join(ranked, ["feature", "value"]).groupBy("feature", "grp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("rank_sum"))
@@ -98,10 +98,17 @@ def compare_groups(df: DataFrame, group: str, features: Sequence[str]) -> DataFr
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson and Spearman correlation of two columns."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = known.select("x", "y", average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    return ranked.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    """Pearson and Spearman correlation of two columns, the latter from counts of distinct pairs."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    pairs = known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    both = pairs.select("c", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in ("x", "y")])).alias("v"))
+    rank = average_ranks(both.groupBy("v.feature", "v.value").agg(F.sum("c").alias("t")))
+    side = lambda n: rank.where(F.col("feature") == n).select(F.col("value").alias(n), F.col("rank").alias(f"r{n}"))
+    centre = (known.count() + 1) / 2
+    dx, dy, c = F.col("rx") - centre, F.col("ry") - centre, F.col("c")
+    sums = pairs.join(side("x"), "x").join(side("y"), "y").agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    scale = F.sqrt(F.col("xx") * F.col("yy"))
+    return known.agg(safe_corr("x", "y").alias("pearson")).join(sums.select(F.when(scale > 0, F.col("xy") / scale).alias("spearman")))  # one row each
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import first_rows, row_at, up_to
+
 
 def matches(column: Column, values: Sequence) -> Column:
     """Equal to one of values; null or "" among them matches both null and ""."""
@@ -44,8 +47,10 @@ def fraction(df: DataFrame, column: str, share: float, key: Sequence[str], mode:
     Ties go to the later row (highest) or the earlier one (lowest) in order of `key`.
     """
     valid = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    group = [F.coalesce(F.col(within).cast("string"), F.lit("nan"))] if within else []
     down = mode == "highest"
+    if not within:
+        return first_rows(valid, list(dict.fromkeys((column, *key))), down, round(share * valid.count()))
+    group = [F.coalesce(F.col(within).cast("string"), F.lit("nan"))]
     order = [F.col(c).desc() if down else F.col(c).asc() for c in (column, *key)]
     w = Window.partitionBy(*group)
     ranked = valid.withColumn("_rank", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
@@ -116,10 +121,11 @@ def quantile_bin(df: DataFrame, column: str, bins: int = 3, name: str | None = N
 
 def rank_tertiles(df: DataFrame, column: str, key: Sequence[str], name: str = "tertile") -> DataFrame:
     """low, mid or high by rank in order of value and key, cut at equal widths of rank."""
-    ranked = df.where(F.col(column).isNotNull())
-    rank, n = F.row_number().over(Window.orderBy(column, *key)), F.count(F.lit(1)).over(Window.partitionBy())
-    cut = ranked.withColumn("_rank", rank).withColumn("_n", n)
-    return cut.withColumn(
-        name,
-        F.when(F.col("_rank") <= 1 + (F.col("_n") - 1) / 3, "low").when(F.col("_rank") <= 1 + 2 * (F.col("_n") - 1) / 3, "mid").otherwise("high"),
-    ).drop("_rank", "_n")
+    ranked, order = df.where(F.col(column).isNotNull()), list(dict.fromkeys((column, *key)))
+    n = ranked.count()
+    label = F.lit("high")
+    for title, third in (("mid", 2), ("low", 1)):
+        k = math.floor(1 + third * (n - 1) / 3)
+        if n:
+            label = F.when(up_to(order, row_at(ranked, order, False, k)), title).otherwise(label)
+    return ranked.withColumn(name, label)

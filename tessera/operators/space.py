@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_corr
+
 
 def moments(df: DataFrame, features: Sequence[str], weight: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Means and population covariance (weighted, with weights that sum to 1, if given), in one pass."""
@@ -73,7 +75,7 @@ def correlations(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     pairs = [(i, j) for i in range(len(features)) for j in range(i)]
     for k in range(0, len(pairs), 200):
         part = pairs[k : k + 200]
-        got = df.agg(*[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"r{n}") for n, (i, j) in enumerate(part)]).first()
+        got = df.agg(*[safe_corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"r{n}") for n, (i, j) in enumerate(part)]).first()
         for (i, j), v in zip(part, got, strict=True):
             out[i, j] = out[j, i] = 0.0 if v is None or v != v else abs(v)
     return out
