@@ -18,7 +18,7 @@ def labelled(spark):
     return spark.createDataFrame(rows, "subject string, y string, u double, v double, i long").persist()
 
 
-@pytest.mark.parametrize("name", ["GaussianNB", "KNeighbors", "SVM", "MLP"])
+@pytest.mark.parametrize("name", ["ElasticNet", "ExtraTrees", "GaussianNB", "GradientBoosting", "KNeighbors", "SVM", "MLP"])
 def test_classifiers_learn(labelled, name):
     got = learners.held_out_predictions(labelled, ["u", "v"], "y", "subject", name, folds=2)
     row = learners.class_scores(got).first()
