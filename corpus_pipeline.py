@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, linededup, mixing, simhash, toxicity
+from tessera.llm import bpe, linededup, mixing, similar, simhash, toxicity
 from tessera.llm.common import shared_path
 from tessera.llm.queries import table, vocabulary_path
 
@@ -25,8 +25,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Near are fingerprints at distance 2 or less, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    return simhash.drop_near_duplicates(docs, gone=similar.similar_to_smaller(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,18 +164,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, hot: in
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, hot: int = 2048) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, hot: int = 2048, gone: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay: of each group of near-duplicates the one with the smallest doc_id, all columns kept.
 
     Where several rows of a group share that doc_id, the smallest digest of the text decides, then
     the other columns in order, so exactly one row of each group stays. Null doc_ids come last.
+    Rows (doc_id, digest) of `gone`, found by another rule with the same order, don't stay either.
     """
     named = docs.select("doc_id", F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("digest"))
     prints = materialize(with_fingerprint(named, "_text", width).drop("_text"), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     best = _classes(prints, hot).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = materialize(best.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest")), "kept")
+    kept = best.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"))
+    if gone is not None:
+        kept = kept.join(gone, F.col("_kept_id").eqNullSafe(F.col("doc_id")) & (F.col("_kept_digest") == F.col("digest")), "left_anti")
+    kept = materialize(kept, "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text)) == F.col("_kept_digest"))
     rows = docs.join(kept, same, "left_semi")
     twice = prints.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("digest") == F.col("_kept_digest")), "left_semi")
