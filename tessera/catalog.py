@@ -888,7 +888,7 @@ def subset_challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def attention_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = lines(spark, sf_dir).withColumn("label", F.col("l_suppkey") % 2)
-    return attention.attention_weights(rows_, MEASURES, "l_suppkey", "label", KEY, folds=3, rows=50, epochs=20, patience=5)
+    return attention.attention_weights(rows_, MEASURES, "l_suppkey", "label", KEY, folds=3, rows=None, epochs=300, patience=30)
 
 
 @query()
