@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path
@@ -83,12 +83,16 @@ def _files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Rows (page_id, refers_to) of the pages whose payload, of min_payload bytes at least, an earlier page_id has too."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    """Rows (page_id, sha1, n, refers_to) of the pages whose payload, of min_payload bytes at least, an earlier page_id has too."""
+    payload = _payload()
     narrow = materialize(pages.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).where(F.col("n") >= min_payload), "digests")
     groups = narrow.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1")
-    return narrow.join(groups, ["sha1", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return narrow.join(groups, ["sha1", "n"]).where("page_id <> refers_to").select("page_id", "sha1", "n", "refers_to").distinct()
 
 
 def write(pages: DataFrame, min_payload: int = 0, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -104,7 +108,8 @@ def write(pages: DataFrame, min_payload: int = 0, level: int = 3, date: str = "2
     if again.isEmpty():
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
     else:
-        rows = rows.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
+        known = rows.withColumns({"sha1": F.sha1(_payload()), "n": F.length(_payload())})
+        rows = known.join(again, ["page_id", "sha1", "n"], "left").select("page_id", "url", "html", "refers_to")
     folder = shared_path(spark, "warc")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
