@@ -33,7 +33,7 @@ PATTERNS = {
 }
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа)"
 #: A text without any of these has no entity.
-HINT = r"[0-9@]|(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Господин|Госпожа)\.? \p{Lu}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]"
+HINT = r"[0-9@]|(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Господин|Госпожа)\.? \p{Lu}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]|(?:AKIA|ASIA)[A-Z]{16}|[a-f]{32}"
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi ga go ka ke ki ko la le li lo lu ma me mi mo na ne ni no pa pe pi ra re ri ro sa se si so ta te ti to va ve vi".split(),
     "cyrillic": "ба бе би бо да де ди до га го ка ки ко ла ле ли ло лу ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви".split(),
