@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Parts above which a word counts as long.
 LONG = 96
 #: Pieces remembered by each worker.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _BITS = 20
 _MASK = (1 << _BITS) - 1
 _NO_RANK = 1 << 60
@@ -173,8 +173,16 @@ class Codec:
         return self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
-        """The tokens' texts joined by spaces, which is how a vocabulary without a decoder reads."""
-        return " ".join(map(self.names.__getitem__, ids))
+        """The tokens' texts joined by spaces, which is how a vocabulary without a decoder reads; null and unknown ids are left out."""
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.names[i] for i in ids if i in self.names)
+
+    def forget(self) -> None:
+        """Give back what the remembered pieces take."""
+        self.seen.clear()
+        self.seen_words.clear()
 
 
 def read_spec(path: str) -> str:
@@ -185,8 +193,9 @@ def read_spec(path: str) -> str:
 
 def _codec(shared) -> Codec:
     """One codec for each worker."""
-    if _CODECS.get("of") != shared.value[:64] + str(len(shared.value)):
-        _CODECS.update(of=shared.value[:64] + str(len(shared.value)), codec=Codec(shared.value))
+    digest = hashlib.sha256(shared.value.encode()).digest()
+    if _CODECS.get("of") != digest:
+        _CODECS.update(of=digest, codec=Codec(shared.value))
     return _CODECS["codec"]
 
 
@@ -201,13 +210,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def to_ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(shared)
         for texts in parts:
-            yield pa.array([codec.encode(t) for t in texts.to_pylist()], type=pa.list_(pa.int32()))
+            yield pa.array([codec.encode(t.as_py()) for t in texts], type=pa.list_(pa.int32()))
+        codec.forget()
 
     return docs.withColumn(ids, to_ids(F.col(text).cast("string")))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """encoded with a string column: the decoded ids (null ids: empty)."""
+    """encoded with a string column: the decoded ids (a null array: empty; null and unknown ids inside one are left out)."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.arrow_udf("string")
@@ -241,6 +251,7 @@ def roundtrip_digests(docs: DataFrame, path: str, text: str = "text") -> DataFra
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()  # the worker outlives the task
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(
