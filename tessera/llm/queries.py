@@ -154,22 +154,29 @@ from counted
     "op7_line_dedup": r"""
 with docs as (select doc_id, text, md5(text) as k from documents),
 uniq as (select distinct doc_id, k, text from docs where text is not null and text <> ''),
-lines as (select doc_id, k, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from uniq),
-hashed as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from lines),
+written as (select doc_id, k, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as li from uniq),
+beside as (
+  select *, coalesce(length(line) >= 200, false) or coalesce(length(lead(line) over w) >= 200, false) as apart, lead(li) over w is null as final
+  from written window w as (partition by doc_id, k order by li)),
+whole as (select *, case when final then line else line || chr(10) end as full_line from beside),
+pieces as (
+  select doc_id, k, li, apart, list_filter(case when length(line) >= 200 then string_split(regexp_replace(full_line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) else [full_line] end, lambda p: p <> '') as ps from whole),
+placed as (select doc_id, k, li, apart, unnest(ps) as t, generate_subscripts(ps, 1) as j, len(ps) as m from pieces),
+lines as (select *, row_number() over (partition by doc_id, k order by li, j) as i, apart and j = m as stop, rtrim(t, ' ' || chr(10)) as bare from placed),
+hashed as (select *, ('0x' || substr(md5(bare), 1, 15))::bigint as h from lines),
 rolled as (
-  select *, ((coalesce(lag(h) over w % 1000003, 0)) * 31 + h) % 1000003 as r, count(*) over (partition by doc_id, k) as total
+  select *, ((coalesce(lag(h) over w % 1000003, 0)) * 31 + h % 1000003) % 1000003 as r, count(*) over (partition by doc_id, k) as total
   from hashed window w as (partition by doc_id, k order by i)),
-cut as (select *, coalesce(sum((r % 3 = 0 and i < total)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0) as c from rolled),
-pieces as (
-  select doc_id, k, c, min(i) - 1 as pos, count(*) as n, string_agg(line, chr(10) order by i) as txt from cut group by doc_id, k, c),
-ranked as (
-  select *, count(*) over (partition by txt) as copies, row_number() over (partition by txt order by doc_id is null, doc_id, k, pos) as rn
-  from pieces where n >= 2),
-gone as (select doc_id, k, pos from ranked where rn > 1),
+cut as (select *, coalesce(sum(((r % 6 = 0 or stop) and i < total)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0) as c from rolled),
+chunks as (select doc_id, k, c, count(*) as n, string_agg(bare, chr(10) order by i) as txt, string_agg(t, '' order by i) as whole from cut group by doc_id, k, c),
+ranked as (select doc_id, k, c, row_number() over (partition by txt order by doc_id is null, doc_id, k, c) > 1 as again from chunks where n > 1 or length(txt) >= 40),
+known as (select c.*, coalesce(r.again, false) as again from chunks c left join ranked r on c.doc_id is not distinct from r.doc_id and c.k = r.k and c.c = r.c),
+decided as (
+  select *, again and (n > 1 or length(txt) >= 200 or coalesce(lag(again) over w, false) or coalesce(lead(again) over w, false)) as gone
+  from known window w as (partition by doc_id, k order by c)),
 per_doc as (
-  select p.doc_id, p.k, count(*) as n_chunks, count(g.pos) as n_removed, coalesce(sum(case when g.pos is not null then p.n end), 0) as removed_lines,
-         string_agg(case when g.pos is null then p.txt end, chr(10) order by p.pos) as kept
-  from pieces p left join gone g on p.doc_id is not distinct from g.doc_id and p.k = g.k and p.pos = g.pos group by p.doc_id, p.k)
+  select doc_id, k, count(*) as n_chunks, sum(gone::int) as n_removed, coalesce(sum(n) filter (gone), 0) as removed_lines, string_agg(case when not gone then whole end, '' order by c) as kept
+  from decided group by doc_id, k)
 select d.doc_id, coalesce(n_chunks, 0)::int as n_chunks, coalesce(n_removed, 0)::int as n_removed, coalesce(removed_lines, 0)::int as removed_lines,
        case when n_removed is null or n_removed = 0 then d.text else coalesce(kept, '') end as text
 from docs d left join per_doc p on d.doc_id is not distinct from p.doc_id and d.k = p.k
