@@ -5,10 +5,11 @@ table of segments is selective at such a radius. So candidates come from `bands`
 minima each (20 of 6: a pair at 0.8 shares no key with probability 0.002, at 0.9 with 2e-7), and
 each candidate pair is verified on the shingles of both texts.
 
-A key that more than `cap` documents share would make a quadratic number of pairs. Such a crowd is
-first compared with one pivot for each of its keys; what links to a smaller document goes, and the
-rest is dealt anew with other pivots, as long as that shrinks it. What is left is compared pair by
-pair, so nothing is skipped.
+Only links between documents that aren't yet known to be connected are worth a comparison. First
+each document is compared with the smallest one it shares a key with, which joins most groups.
+Then keys whose documents lie in several components remain: up to `cap` documents are compared
+pair by pair, a larger crowd with one pivot at a time, which then leaves the crowd. After `rounds`
+pivots what is left of a crowd is compared pair by pair, so no link between components is skipped.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, remove
 from .simhash import _LOWER, _WORDS
 
 #: Shingles whose minima are taken at a time.
@@ -70,56 +71,79 @@ def _node(text: str) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (u, v) whose texts reach the threshold."""
 
-    @F.pandas_udf("boolean")
-    def alike(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def alike(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in parts:
-            yield pd.Series([jaccard(shingles(x, width), shingles(y, width)) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
+            yield pa.array([jaccard(shingles(x.as_py(), width), shingles(y.as_py(), width)) >= threshold for x, y in zip(a, b, strict=True)], type=pa.bool_())
 
-    pairs = materialize(pairs, "similar-pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     known = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-texts")
     left, right = known.toDF("u", "left"), known.toDF("v", "right")
-    return pairs.join(left, "u").join(right, "v").where(alike("left", "right")).select("u", "v")
+    linked = materialize(pairs.join(left, "u").join(right, "v").where(alike("left", "right")).select("u", "v"), "similar-links")
+    remove(known)
+    return linked
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
 def similar_to_smaller(
-    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 64, rounds: int = 4, seed: int = 11
+    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 16, rounds: int = 4, seed: int = 11
 ) -> DataFrame:
     """Rows (doc_id, digest), digest the xxhash64 of the text: documents that links of similarity `threshold` join to a smaller document.
 
     Equal texts are one document with the smallest doc_id (null last); the others of them aren't
-    listed. Texts without words are similar to nothing.
+    listed. Texts without words are similar to nothing. An empty table gives an empty result;
+    extra columns are ignored.
     """
 
-    @F.pandas_udf("array<long>")
-    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def keys(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            found = (shingles(t, width) for t in texts)
-            yield pd.Series([band_keys(v, bands, rows, seed) if len(v) else None for v in found], dtype=object)
+            found = (shingles(t.as_py(), width) for t in texts)
+            yield pa.array([band_keys(v, bands, rows, seed) if len(v) else None for v in found], type=pa.list_(pa.int64()))
 
     texts = docs.select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
     signed = materialize(texts.select("node", keys("text").alias("keys")).where("keys is not null"), "bands")
-    alive = signed.groupBy("node.digest").agg(F.min_by("keys", "node").alias("keys"), F.min("node").alias("node")).select("node", "keys")
-    gone = []
+    distinct = signed.groupBy("node.digest").agg(F.min_by("keys", "node").alias("keys"), F.min("node").alias("node"))
+    placed = materialize(
+        distinct.select("node", F.posexplode("keys").alias("band", "at")).select("node", F.xxhash64("band", "at").alias("key")), "buckets"
+    )
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    met = materialize(placed.join(shared, "key").select("key", "node", "pivot"), "shared")
+    tested = materialize(met.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")).select(*_ordered("node", "pivot")), "similar-pairs")
+    links = _verified(tested, texts, width, threshold)
+    found = materialize(components(links), "components")
+    crowd = met.select("key", "node")
     for turn in range(rounds + 1):
-        buckets = materialize(alive.select("node", F.posexplode("keys").alias("band", "key")), "buckets")
-        count = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-        crowds = materialize(count.where(F.col("n") > cap), "crowds") if turn < rounds else None
-        last = crowds is None or crowds.isEmpty()
-        if last:
-            shared = count.where("n > 1").select("band", "key")
-            mine = buckets.join(shared, ["band", "key"], "left_semi")
-            pairs = mine.withColumnRenamed("node", "u").join(mine.withColumnRenamed("node", "v"), ["band", "key"]).where("u < v").select("u", "v")
-        else:
-            met = buckets.join(crowds, ["band", "key"]).where("node <> pivot")
-            pairs = met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-        found = components(_verified(pairs.distinct(), texts, width, threshold))
-        left = materialize(found.where("node <> root").select("node"), "gone")
-        gone.append(left)
-        if last:
+        of_root = crowd.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_keys = (
+            of_root.groupBy("key")
+            .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+            .where("a <> b")
+            .withColumn("all", (F.col("n") <= cap) | F.lit(turn == rounds))
+            .select("key", "pivot", "all")
+        )
+        rows_left = materialize(of_root.join(open_keys, "key"), "crowds")
+        whole, part = rows_left.where("all"), rows_left.where("not all")
+        pivots = part.where("node = pivot").select("key", F.col("root").alias("other_root"))
+        others = whole.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        pairs = (
+            whole.join(others, "key")
+            .where("node > other and root <> other_root")
+            .select(*_ordered("node", "other"))
+            .unionByName(part.join(pivots, "key").where("root <> other_root").select(*_ordered("node", "pivot")))
+            .distinct()
+            .join(tested, ["u", "v"], "left_anti")
+        )
+        pairs = materialize(pairs, "similar-pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(_verified(pairs, texts, width, threshold))
+            found = materialize(components(links), "components")
+            tested = tested.unionByName(pairs)
+        crowd = part.where("node <> pivot").select("key", "node")
+        if crowd.isEmpty():
             break
-        alive = materialize(alive.join(left, "node", "left_anti"), "alive")
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
+    out = found.where("node <> root").select("node")
     return out.select(F.when(~F.col("node.no_id"), F.col("node.id")).alias("doc_id"), F.col("node.digest").alias("digest"))
