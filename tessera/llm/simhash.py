@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,10 +57,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, name: str = "fp") -> DataFrame:
     """docs with a long column `name`: the fingerprint of the whole text."""
 
-    @F.pandas_udf("long")
-    def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def simhash(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+            yield pa.array([fingerprint(t.as_py(), width) for t in texts], type=pa.int64())
 
     return docs.withColumn(name, simhash(F.col(text).cast("string")))
 
