@@ -59,6 +59,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: A key with this share of all rows or more counts as hot; so there are a thousand at most.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows inner-joined with table, one row per key, whose column `hot` marks keys with a thousandth of rows or more.
+
+    The hot ones, a thousand at most, are broadcast; so no task gets all rows of such a key.
+    """
+    hot, rest = F.broadcast(table.where("hot").drop("hot")), table.where("not hot").drop("hot")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, root), root the smallest node reachable.
 
