@@ -96,12 +96,11 @@ _MET = "u string, v string, part int, side int, at int, pass int, vec array<doub
 
 
 def _pairs(got: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """Rows of a forest of the pairs (side 0), and every 16th pair by digest (side 3), from which recall is estimated."""
+    """Rows of a forest of the pairs (side 0), and every 8th linked vector by digest (side 3), from which recall is estimated."""
     a, b = (np.concatenate(x).astype(str) for x in zip(*got, strict=True))
-    u, v = np.where(a < b, a, b), np.where(a < b, b, a)
-    some = np.array([(int(x[:8], 16) ^ int(y[:8], 16)) % 16 == 0 for x, y in zip(u, v, strict=True)], dtype=bool)
-    child, top = _forest(u, v)
-    return pd.DataFrame({"u": [*child, *u[some]], "v": [*top, *v[some]], "part": -1, "side": [0] * len(child) + [3] * int(some.sum()), "at": 0})
+    child, top = _forest(np.where(a < b, a, b), np.where(a < b, b, a))
+    some = [x for x in np.unique(np.concatenate([child, top])) if int(x[:8], 16) % 8 == 0]
+    return pd.DataFrame({"u": [*child, *some], "v": [*top, *some], "part": -1, "side": [0] * len(child) + [3] * len(some), "at": 0})
 
 
 def _pass_pairs(vectors: DataFrame, means: dict[int, np.ndarray], threshold: float, batch: list[int], window: int, seed: int) -> DataFrame:
@@ -172,10 +171,10 @@ def _pass_pairs(vectors: DataFrame, means: dict[int, np.ndarray], threshold: flo
 
 
 def estimated_recall(met: DataFrame) -> float:
-    """Share of linked pairs that passes have met, by Chao's estimate from how many pairs one pass, and how many two, have met."""
-    often = met.where("side = 3").groupBy("u", "v").agg(F.countDistinct("pass").alias("n"))
+    """Share of linked vectors that passes have found linked, by Chao's estimate from how many were so in one pass, and how many in two."""
+    often = met.where("side = 3").groupBy("u").agg(F.countDistinct("pass").alias("n"))
     r = often.agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    unseen = r["one"] ** 2 / (2 * max(1, r["two"]))
+    unseen = r["one"] * (r["one"] - 1) / (2 * (r["two"] + 1))
     return r["all"] / (r["all"] + unseen) if r["all"] else 1.0
 
 
@@ -183,7 +182,7 @@ def candidate_pairs(vectors: DataFrame, rows: int, threshold: float, recall: flo
     """Verified pairs (u, v), u < v, that connect what passes found, from (id string, vec array<double>).
 
     Vectors of different lengths never match. Passes go on after those that `rows` asks for until
-    the estimated recall is reached or a batch of them meets no pair that is new to the sample.
+    the estimated recall is reached or `together` more of them find no vector that is new to the sample.
     """
 
     def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,17 +195,14 @@ def candidate_pairs(vectors: DataFrame, rows: int, threshold: float, recall: flo
     means: dict[int, np.ndarray] = {}
     for r in sums.orderBy("dim", "at").collect():  # one mean vector for each dimension
         means.setdefault(r["dim"], np.zeros(r["dim"]))[r["at"]] = r["mean"]
-    done, need, found, seen = 0, passes_for(rows, threshold, window, recall), None, -1
+    done, batch, found, seen = 0, passes_for(rows, threshold, window, recall), None, -1
     while True:
-        batch = list(range(done, done + together))
-        met = materialize(_pass_pairs(vectors, means, threshold, batch, window, seed), "met")
+        met = materialize(_pass_pairs(vectors, means, threshold, list(range(done, done + batch)), window, seed), "met")
         found = met if found is None else found.unionByName(met)
-        done += together
-        if done >= need:
-            now = found.where("side = 3").select("u", "v").distinct().count()
-            if now == seen or estimated_recall(found) >= recall:
-                return found.where("side = 0").select("u", "v").distinct()
-            seen = now
+        now = found.where("side = 3").select("u").distinct().count()
+        if now == seen or estimated_recall(found) >= recall:
+            return found.where("side = 0").select("u", "v").distinct()
+        seen, done, batch = now, done + batch, together
 
 
 def exact_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
