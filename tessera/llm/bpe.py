@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Parts above which a word counts as long.
 LONG = 96
 #: Pieces remembered by each worker.
@@ -251,7 +253,8 @@ def roundtrip_digests(docs: DataFrame, path: str, text: str = "text") -> DataFra
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        codec.forget()  # the worker outlives the task
+        codec.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(

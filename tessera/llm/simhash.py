@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, give_back, materialize
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -61,6 +61,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, name:
     def simhash(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([fingerprint(t.as_py(), width) for t in texts], type=pa.int64())
+        give_back()
 
     return docs.withColumn(name, simhash(F.col(text).cast("string")))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, remove
+from .common import components, give_back, materialize, remove
 from .simhash import _LOWER, _WORDS
 
 #: Shingles whose minima are taken at a time.
@@ -75,6 +75,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     def alike(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in parts:
             yield pa.array([jaccard(shingles(x.as_py(), width), shingles(y.as_py(), width)) >= threshold for x, y in zip(a, b, strict=True)], type=pa.bool_())
+        give_back()
 
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     known = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-texts")
@@ -103,6 +104,7 @@ def similar_to_smaller(
         for texts in parts:
             found = (shingles(t.as_py(), width) for t in texts)
             yield pa.array([band_keys(v, bands, rows, seed) if len(v) else None for v in found], type=pa.list_(pa.int64()))
+        give_back()
 
     texts = docs.select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
     signed = materialize(texts.select("node", keys("text").alias("keys")).where("keys is not null"), "bands")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import give_back, materialize, remove
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -246,7 +246,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, mentions: int = 8_000, penalty: float = 1.0, seed: int = 17
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, mentions: int = 8_000, penalty: float = 0.1, seed: int = 17
 ) -> Model:
     """Fit on at most `sample` labelled texts that aren't held out.
 
@@ -284,6 +284,8 @@ def train(
     model = fit(bag(), y, penalty, groups, sentences=_mentions(chosen, groups, mentions))
     remove(labelled)
     remove(chosen)
+    del got
+    give_back()
     return model
 
 
@@ -341,6 +343,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array(shared.value.scores(texts), type=pa.float64())
+        give_back()
 
     return docs.withColumn("score", scored(F.col(text).cast("string"))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
