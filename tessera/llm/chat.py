@@ -12,7 +12,7 @@ A turn is written `<|role|>\\n` text `<|end|>\\n`. Inside texts and roles a back
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, let
@@ -50,16 +50,13 @@ def format_windows(
     own. Null text and null role count as empty; a null conv_id is one conversation. Extra columns
     are ignored; an empty table gives an empty result. A conversation is one row, as its text is.
     """
-    rows = turns.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        ).alias("t"),
+    plain = turns.select(
+        "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
+    cost = F.regexp_count("text", F.lit(WORD)) + OVERHEAD
+    so_far = F.sum(cost).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0))
+    rows = plain.select("conv_id", F.struct("turn", "role", "text", so_far.cast("int").alias("upto")).alias("t"))
     made = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    cost = lambda t: F.regexp_count(t["text"], F.lit(WORD)) + OVERHEAD
 
     def with_prefix(prefix: Column, ts: Column) -> Column:
         """prefix[i]: tokens of the first i turns."""
@@ -122,16 +119,13 @@ def format_windows(
 
         return let(shown, built)
 
-    costs = F.transform("turns", cost)
-    prefix = F.aggregate(
-        costs, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(acc[F.size(acc) - 1] + c))
-    )
+    prefix = F.concat(F.array(F.lit(0)), F.transform("turns", lambda t: t["upto"]))
     windows = let(F.col("turns"), lambda ts: let(prefix, lambda p: with_prefix(p, ts)))
     return made.select("conv_id", F.size("turns").alias("n_turns"), windows.alias("windows"))
 
 
 def read_turns(window: Column) -> Column:
-    """array<struct<role, text>> of a window's own turns, read from its formatted text."""
+    """array<struct<role, text>> of a window's own turns, read from its formatted text; null for a null window."""
     pieces = F.split(window["text"], r"<\|end\|>\n", -1)
     turn = lambda p: F.struct(
         unescape(F.regexp_extract(p, r"^<\|((?:\\.|[^\\|])*)\|>\n", 1)).alias("role"),
@@ -141,5 +135,5 @@ def read_turns(window: Column) -> Column:
 
 
 def read_loss(window: Column) -> Column:
-    """The unescaped text under a window's loss mask, its spans joined without anything between."""
+    """The unescaped text under a window's loss mask, its spans joined without anything between; null for a null window."""
     return F.array_join(F.transform(window["loss"], lambda s: unescape(F.substr(window["text"], s["start"] + 1, s["length"]))), "")

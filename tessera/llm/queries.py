@@ -52,7 +52,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"),
     )
-    made = chat.format_windows(turns.unionByName(extra))
+    made = chat.format_windows(turns.unionByName(extra), budget=256, history_budget=64)
     own = F.flatten(F.transform("windows", chat.read_turns))
     said = F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("windows", chat.read_loss), "")
