@@ -101,14 +101,16 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[
 
 
 def _walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...], found: dict) -> None:
+    """The first box of each path between start and end."""
     for kind, body, stop in boxes(data, start, end):
-        found.setdefault((*path, kind), []).append((body, stop))
+        found.setdefault((*path, kind), (body, stop))
         if kind in NESTED:
             _walk(data, body, stop, (*path, kind), found)
 
 
 @dataclass
 class Track:
+    kind: str
     codec: str
     timescale: int
     duration: int
@@ -122,17 +124,40 @@ class Track:
         return [(self.offsets[s - 1], self.sizes[s - 1]) for s in self.sync]
 
 
-def read(data: bytes) -> Track:
-    """The first track's codec, duration and samples from the boxes, without touching the payload."""
+def tracks(data: bytes) -> list[Track]:
+    """Each track's codec, duration and samples from the boxes, without touching the payload; ValueError if the container is damaged."""
     view = memoryview(data)
-    found: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-    _walk(view, 0, len(view), (), found)
-    mdia = (b"moov", b"trak", b"mdia")
+    try:
+        return [
+            _track(view, start, end)
+            for kind, body, stop in boxes(view)
+            if kind == b"moov"
+            for inner, start, end in boxes(view, body, stop)
+            if inner == b"trak"
+        ]
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"a damaged container: {e!r}") from e
+
+
+def read(data: bytes) -> Track:
+    """The first video track, or the first track if there is none."""
+    found = tracks(data)
+    if not found:
+        raise ValueError("no track")
+    return next((t for t in found if t.kind == "vide"), found[0])
+
+
+def _track(view: memoryview, start: int, end: int) -> Track:
+    found: dict[tuple[bytes, ...], tuple[int, int]] = {}
+    _walk(view, start, end, (), found)
+    mdia = (b"mdia",)
     stbl = (*mdia, b"minf", b"stbl")
 
     def at(*path: bytes) -> tuple[int, int]:
-        return found[path][0]
+        return found[path]
 
+    body, _ = at(*mdia, b"hdlr")
+    handler = bytes(view[body + 8 : body + 12]).decode("latin-1")
     body, _ = at(*mdia, b"mdhd")
     timescale, duration = struct.unpack_from(">IQ", view, body + 20) if view[body] == 1 else struct.unpack_from(">II", view, body + 12)
     body, _ = at(*stbl, b"stsd")
@@ -161,7 +186,9 @@ def read(data: bytes) -> Track:
         sync = list(struct.unpack_from(f">{m}I", view, body + 8))
     else:
         sync = list(range(1, n + 1))
-    return Track(codec, timescale, duration, sizes, offsets, sync)
+    if len(offsets) != n or any(not 1 <= s <= n for s in sync):
+        raise ValueError("sample tables that contradict each other")
+    return Track(handler, codec, timescale, duration, sizes, offsets, sync)
 
 
 def _map(df: DataFrame, column: str, kind: str, make, names: list[str], types: list[pa.DataType], out: str) -> DataFrame:
@@ -197,13 +224,25 @@ def wrap(docs: DataFrame, text: str = "text") -> DataFrame:
 def probe(media: DataFrame, column: str = "media") -> DataFrame:
     """media without `column`, with codec, duration_s, keyframes (offset, length) and digests of what the boxes point at.
 
-    payload_bytes, payload_sha256 and tail_crc32 (its last 32 bytes) come from the samples that the
-    tables locate; media_bytes and media_sha256 from the stored form.
+    They are of the first video track, or of the first track. payload_bytes, payload_sha256 and
+    tail_crc32 (its last 32 bytes) come from the samples that the tables locate; media_bytes and
+    media_sha256 from the stored form. A damaged container is a row whose `error` says so, with
+    nulls but for those two; null media is a row of nulls. Columns of these names are replaced.
     """
     ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
 
-    def make(value: bytes) -> tuple:
+    def make(value: bytes | None) -> tuple:
+        if value is None:
+            return (None,) * 9
+        try:
+            return probed(value)
+        except ValueError as e:
+            return (None,) * 6 + (len(value), hashlib.sha256(value).hexdigest(), str(e))
+
+    def probed(value: bytes) -> tuple:
         track, view = read(value), memoryview(value)
+        if any(o + s > len(value) for o, s in zip(track.offsets, track.sizes, strict=True)):
+            raise ValueError("samples beyond the end")
         digest, tail, total, k, n = hashlib.sha256(), b"", 0, 0, len(track.sizes)
         while k < n:  # samples that follow each other are read at once
             begin = end = track.offsets[k]
@@ -215,13 +254,13 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
             tail = (tail + bytes(view[max(begin, end - 32) : end]))[-32:]
         keys = [{"offset": o, "length": s} for o, s in track.keyframes]
         return (
-            track.codec, track.duration / track.timescale, keys, total, digest.hexdigest(), zlib.crc32(tail), len(value), hashlib.sha256(value).hexdigest(),
+            track.codec, track.duration / max(1, track.timescale), keys, total, digest.hexdigest(), zlib.crc32(tail), len(value), hashlib.sha256(value).hexdigest(), None,
         )
 
-    names = ["codec", "duration_s", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
-    types = [pa.string(), pa.float64(), ranges, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["codec", "duration_s", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "error"]
+    types = [pa.string(), pa.float64(), ranges, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     out = (
         "codec string, duration_s double, keyframes array<struct<offset:bigint,length:bigint>>, payload_bytes long, "
-        "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+        "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
     )
     return _map(media, column, "binary", make, names, types, out)
