@@ -44,8 +44,11 @@ def _header_value(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit record, if refers_to is given, has no payload but its digest and length."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, unique: str = "") -> bytes:
+    """One WARC record; a revisit record, if refers_to is given, has no payload but its digest and length.
+
+    `unique` tells records of one page_id, or of none, apart.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is None:
         kind, block = "response", http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
@@ -54,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <{_RECORD_ID}{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_RECORD_ID}{'null' if page_id is None else page_id}{unique and ':' + unique}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_header_value(url or '')}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
@@ -125,7 +128,7 @@ def write(pages: DataFrame, min_payload: int = 0, level: int = 3, date: str = "2
                         out = fs.open_output_stream(f"{path}/{name}", compression=None)
                         at = 0
                     payload = (row["html"] or "").encode("utf-8")
-                    data = gzip.compress(record(row["page_id"], row["url"], payload, row["refers_to"], date), level, mtime=0)
+                    data = gzip.compress(record(row["page_id"], row["url"], payload, row["refers_to"], date, f"{name[:32]}-{at}"), level, mtime=0)
                     out.write(data)
                     kind = "response" if row["refers_to"] is None else "revisit"
                     index.append((row["page_id"], f"{folder}/{name}", at, len(data), row["url"], payload_digest(payload), kind))
@@ -141,10 +144,12 @@ def write(pages: DataFrame, min_payload: int = 0, level: int = 3, date: str = "2
     return materialize(rows.mapInArrow(store, INDEX), "warc-index")
 
 
-def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 22) -> DataFrame:
+def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 22, task_bytes: int = 1 << 25) -> DataFrame:
     """Read the records of the given index rows: (page_id, url, record_type, refers_to, payload_bytes, payload_digest, html).
 
-    Ranges less than `gap` bytes apart are read together, up to `most` bytes at a time. A revisit
+    Ranges less than `gap` bytes apart are read together, up to `most` bytes at a time; a task reads
+    about `task_bytes`. url is the index's, as its header can't hold control characters. An empty
+    selection gives an empty result, an index row that is selected twice two rows. A revisit
     record has no html; its payload_bytes and payload_digest are those its headers state for the
     full payload. For responses they are computed from the bytes that were read.
     """
@@ -153,10 +158,10 @@ def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 22) -> DataFr
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "html"]
 
     def number(field: str | None) -> int | None:
-        text = (field or "").strip("<>").removeprefix(_RECORD_ID)
+        text = (field or "").strip("<>").removeprefix(_RECORD_ID).partition(":")[0]
         return int(text) if text not in ("", "null") else None
 
-    def one(data: bytes) -> tuple:
+    def one(data: bytes, url: str | None) -> tuple:
         fields, payload = parse(gzip.decompress(data))
         kind = fields["warc-type"]
         if kind == "revisit":
@@ -165,7 +170,7 @@ def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 22) -> DataFr
             size, digest, html = len(payload), payload_digest(payload), payload.decode("utf-8")
             if f"sha1:{digest}" != fields["warc-payload-digest"]:
                 raise ValueError("a payload that differs from its digest")
-        return number(fields["warc-record-id"]), fields["warc-target-uri"], kind, number(fields.get("warc-refers-to")), size, digest, html
+        return number(fields["warc-record-id"]), url, kind, number(fields.get("warc-refers-to")), size, digest, html
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, handle = None, None
@@ -188,11 +193,15 @@ def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 22) -> DataFr
                     fs, path = _files(file)
                     opened, handle = file, fs.open_input_file(path)
                 data = handle.read_at(end - begin, begin)
-                got = [one(data[r["offset"] - begin : r["offset"] - begin + r["length"]]) for r in rows[k:j]]
+                got = [one(data[r["offset"] - begin : r["offset"] - begin + r["length"]], r["url"]) for r in rows[k:j]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
                 k = j
         if handle is not None:
             handle.close()
 
-    ranges = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length", "url")
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    # of the records' bytes, not the index's
+    parts = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    ranges = rows.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(fetch, schema)
