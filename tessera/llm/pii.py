@@ -1,9 +1,11 @@
 """Personal data and secrets replaced by keyed surrogates (DataFrame operations only).
 
-Each detected entity gets a surrogate derived from a key, its kind and its canonical form, so the
-same person, number or secret reads the same wherever and in whatever notation it occurs. The
-surrogate keeps kind, script, case, punctuation and length; card numbers keep their check digit,
-phone numbers their country code, given names the gender that the title states.
+Each detected entity gets a surrogate derived by HMAC-SHA512 from a secret key, its kind and its
+canonical form, so the same person, number or secret reads the same wherever and in whatever
+notation it occurs; a name that a title has shown in a document is also replaced where it stands
+there without one. The surrogate keeps kind, script, case, punctuation and length; card numbers and
+IBANs stay valid if they are, phone numbers keep their country code, private addresses their
+network, given names the gender that the title states.
 
 Collision checks keep distinct entities distinct: the distinct entities of the whole corpus (a
 narrow, pre-aggregated table) get their surrogates, and where one equals another entity's
@@ -13,6 +15,9 @@ redrawn ones are looked up in a literal map if they are `inline` or fewer, else
 
 from __future__ import annotations
 
+import hashlib
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +30,18 @@ PATTERNS = {
     "aws": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "ip6": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\w)|(?<![\w+.-])[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
-    "name": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Господин|Госпожа)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "card": r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?!\d)",
+    "name": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|M\.|Señora|Señor|Sra|Sr|Господин|Госпожа)\.? \p{Lu}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*(?: \p{Lu}[\p{L}'’]+(?:-\p{L}[\p{L}'’]+)*)?",
 }
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа)"
+FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа)"
+NEUTRAL = r"^(?:Dr|Prof)"
+_NAMES = ("given_f", "given_m", "given_n", "surname")
 #: A text without any of these has no entity.
-HINT = r"[0-9@]|(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Господин|Госпожа)\.? \p{Lu}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]|(?:AKIA|ASIA)[A-Z]{16}|[a-f]{32}"
+HINT = r"[0-9@]|(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|M\.|Señora?|Sra?|Господин|Госпожа)\.? \p{Lu}|(?:[A-Fa-f]{1,4}:){7}|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]|(?:AKIA|ASIA)[A-Z]{16}|[a-f]{32}"
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi ga go ka ke ki ko la le li lo lu ma me mi mo na ne ni no pa pe pi ra re ri ro sa se si so ta te ti to va ve vi".split(),
     "cyrillic": "ба бе би бо да де ди до га го ка ки ко ла ле ли ло лу ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви".split(),
@@ -42,9 +50,21 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _STREAM = 128
 
 
+#: Stands at both ends of a match, so that one pass of the patterns both finds and splits; a text that holds it takes two passes.
+_MARK = "\uf8ff"
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA512 in hex digits."""
+    block = key.encode()
+    block = (hashlib.sha512(block).digest() if len(block) > 128 else block).ljust(128, b"\0")
+    pad = lambda b: F.unhex(F.lit(bytes(x ^ b for x in block).hex()))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 512))), 512)
+
+
 def _stream(key: str, kind: Column, canon: Column, salt: Column) -> Column:
     """256 hex digits."""
-    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), kind, salt.cast("string"), F.lit(str(j)), canon), 512) for j in range(2)])
+    return F.concat(*[_hmac(key, F.concat_ws("|", kind, salt.cast("string"), F.lit(str(j)), canon)) for j in range(2)])
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -70,7 +90,7 @@ def _parts(match: Column) -> Column:
     )
     value = r"""^(.*?[=:]\s{0,2}["']?)([A-Za-z0-9+/_.-]+)(.*)$"""
     title = r"^([^ ]+ )(.*)$"
-    gender = F.when(match.rlike(FEMALE), "given_f").otherwise("given_m")
+    gender = F.when(match.rlike(FEMALE), "given_f").when(match.rlike(NEUTRAL), "given_n").otherwise("given_m")
     names = let(
         F.split(F.regexp_extract(match, title, 2), " "),
         lambda w: F.when(
@@ -94,7 +114,7 @@ def _core(form: Column) -> Column:
 def canonical(kind: Column, form: Column) -> Column:
     """Equal for the notations of one entity."""
     return (
-        F.when(kind.isin("email", "given_f", "given_m", "surname"), F.lower(form))
+        F.when(kind.isin("email", "ip6", *_NAMES), F.lower(form))
         .when(kind.isin("phone", "card", "iban", "ssn"), _core(form))
         .otherwise(form)
     )
@@ -112,9 +132,16 @@ def _luhn(digits: Column) -> Column:
     )
 
 
+def _mod97(iban: Column, check: Column) -> Column:
+    """Remainder by 97 of an IBAN with the given check digits; letters count 10 to 35."""
+    turned = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(2)), check)
+    step = lambda acc, c: F.when(c.between("0", "9"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
 def _mapped(kind: Column, core: Column, stream: Column) -> Column:
     """core with each digit and letter replaced by one of its class."""
-    is_hex = core.rlike("^[0-9a-f]+$") & kind.isin("secret", "hex")
+    is_hex = (core.rlike("^[0-9a-f]+$") & kind.isin("secret", "hex")) | (kind == "ip6")
 
     def sign(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
@@ -129,7 +156,13 @@ def _mapped(kind: Column, core: Column, stream: Column) -> Column:
     plain = F.array_join(F.transform(F.split(core, ""), sign), "")
     head = lambda m: F.substr(m, F.lit(1), F.length(m) - 1)
     checked = lambda m: F.concat(head(m), F.pmod(10 - _luhn(F.concat(head(m), F.lit("0"))) % 10, F.lit(10)).cast("string"))
-    return let(plain, lambda m: F.when((kind == "card") & (_luhn(core) % 10 == 0), checked(m)).otherwise(m))
+    in_country = lambda m: F.concat(F.substr(core, F.lit(1), F.lit(2)), F.substr(m, F.lit(3)))
+    with_check = lambda m: F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(m, F.lit("00"))).cast("string"), 2, "0"), F.substr(m, F.lit(5)))
+    iban = lambda m: F.when(_mod97(core, F.substr(core, F.lit(3), F.lit(2))) == 1, with_check(m)).otherwise(m)
+    return let(
+        plain,
+        lambda m: F.when((kind == "card") & (_luhn(core) % 10 == 0), checked(m)).when(kind == "iban", let(in_country(m), iban)).otherwise(m),
+    )
 
 
 def _filled(form: Column, core: Column, any_case: Column) -> Column:
@@ -148,29 +181,37 @@ def _filled(form: Column, core: Column, any_case: Column) -> Column:
 def _name(kind: Column, form: Column, stream: Column, salt: Column) -> Column:
     """A made-up name in the script and case of form, ending as its gender does."""
 
-    def spell(script: str, female: str, male: str) -> Column:
+    def spell(part: Column, k: Column, script: str, female: str, male: str) -> Column:
         table = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        n = F.least(F.when(kind == "surname", F.lit(3)).otherwise(F.lit(2)) + salt, F.lit(12))
-        body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: table[(_byte(stream, 2 * i) * 256 + _byte(stream, 2 * i + 1)) % len(SYLLABLES[script])]), "")
+        n = F.when(F.length(part) < 3, F.lit(1)).otherwise(F.least(F.when(kind == "surname", F.lit(3)).otherwise(F.lit(2)) + salt, F.lit(12)))
+        at = lambda i: 24 * k + 2 * i
+        body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: table[(_byte(stream, at(i)) * 256 + _byte(stream, at(i) + 1)) % len(SYLLABLES[script])]), "")
         ending = F.when(kind == "given_f", F.lit(female)).when(kind == "given_m", F.lit(male)).otherwise(F.lit(""))
         return F.concat(body, ending)
 
-    word = F.when(form.rlike(r"\p{IsCyrillic}"), spell("cyrillic", "на", "р")).otherwise(spell("latin", "na", "r"))
-    return let(word, lambda w: F.when((form == F.upper(form)) & (F.length(form) > 1), F.upper(w)).otherwise(F.initcap(w)))
+    def part(p: Column, k: Column) -> Column:
+        word = F.when(p.rlike(r"\p{IsCyrillic}"), spell(p, k, "cyrillic", "на", "р")).otherwise(spell(p, k, "latin", "na", "r"))
+        shown = let(word, lambda w: F.when((p == F.upper(p)) & (F.length(p) > 1), F.upper(w)).otherwise(F.initcap(w)))
+        return F.when(p.rlike(r"^\p{L}"), shown).otherwise(p)
+
+    # hyphens and apostrophes stay where they are
+    return F.array_join(F.transform(F.split(form, r"(?<=[-'’])|(?=[-'’])"), part), "")
 
 
 def surrogate(kind: Column, form: Column, salt: Column, key: str) -> Column:
     """What stands for form: same kind, script, case and punctuation."""
 
     def made(stream: Column) -> Column:
-        octets = F.array_join(F.transform(F.split(form, r"\."), lambda _, i: (1 + _byte(stream, i) % 254).cast("string")), ".")
+        own = F.when(form.rlike(r"^(?:10|127)\."), 1).when(form.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01])|169\.254)\."), 2).otherwise(0)
+        public = lambda i: F.when(i == 0, 11 + _byte(stream, i) % 89).otherwise(1 + _byte(stream, i) % 254)  # noqa: E731  11 to 99: never private
+        octets = F.array_join(F.transform(F.split(form, r"\."), lambda o, i: F.when(i < own, o).otherwise(public(i).cast("string"))), ".")
         lead = F.regexp_extract(form, r"^(.*?)[A-Za-z0-9-]+\.[A-Za-z]+$", 1)
         domain = F.element_at(F.array(F.lit("example.com"), F.lit("example.net"), F.lit("example.org")), _byte(stream, F.lit(127)) % 3 + 1)
         fill = lambda part, any_case: let(_core(F.when(any_case, F.lower(part)).otherwise(part)), lambda c: let(_mapped(kind, c, stream), lambda m: _filled(part, m, any_case)))
         return (
             F.when(kind == "ip", octets)
             .when(kind == "email", F.concat(fill(lead, F.lit(True)), domain))
-            .when(kind.isin("given_f", "given_m", "surname"), _name(kind, form, stream, salt))
+            .when(kind.isin(*_NAMES), _name(kind, form, stream, salt))
             .otherwise(fill(form, F.lit(False)))
         )
 
@@ -180,23 +221,44 @@ def surrogate(kind: Column, form: Column, salt: Column, key: str) -> Column:
 def segments(text: Column) -> Column:
     """array<struct<kind, form>>: the whole text in order, entities with their kind, the rest with an empty one."""
     literal = lambda s: F.array(F.struct(F.lit("").alias("kind"), s.alias("form")))
-    return F.when(
-        text.rlike(HINT),
-        let(
-            F.split(text, _ANY, -1),
-            lambda gaps: F.concat(
-                F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda m, i: F.concat(literal(gaps[i]), _parts(m)))),
-                literal(gaps[F.size(gaps) - 1]),
-            ),
+    marked = let(
+        F.split(F.regexp_replace(text, f"({_ANY})", f"{_MARK}$1{_MARK}"), _MARK, -1),
+        lambda ps: F.flatten(F.transform(ps, lambda p, i: F.when(i % 2 == 1, _parts(p)).otherwise(literal(p)))),
+    )
+    twice = let(
+        F.split(text, _ANY, -1),
+        lambda gaps: F.concat(
+            F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({_ANY})"), F.lit(1)), lambda m, i: F.concat(literal(gaps[i]), _parts(m)))),
+            literal(gaps[F.size(gaps) - 1]),
         ),
-    ).otherwise(literal(text))
+    )
+    found = F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(marked)
+    return F.when(text.rlike(HINT), let(found, _later_names)).otherwise(literal(text))
+
+
+def _later_names(parts: Column) -> Column:
+    """parts, with the names among them also found where they stand alone in the rest."""
+    shown = F.array_distinct(F.filter(parts, lambda p: p["kind"].isin(*_NAMES) & (F.length(p["form"]) > 2)))
 
+    def look(names: Column) -> Column:
+        def token(t: Column) -> Column:
+            known = F.get(F.filter(names, lambda n: n["form"] == t), F.lit(0))
+            return F.struct(F.coalesce(known["kind"], F.lit("")).alias("kind"), t.alias("form"))
 
-def _redrawn(entities: DataFrame, key: str, most: int) -> DataFrame:
+        words = lambda p: F.split(p["form"], r"(?<=[\p{L}'’-])(?![\p{L}'’-])|(?<![\p{L}'’-])(?=[\p{L}'’-])", -1)
+        # only names in this rest are looked for, and rests without one stay whole
+        split = lambda p: let(F.filter(names, lambda n: F.contains(p["form"], n["form"])), lambda ns: F.when(F.size(ns) > 0, F.transform(words(p), token)).otherwise(F.array(p)))
+        again = F.flatten(F.transform(parts, lambda p: F.when(p["kind"] == "", split(p)).otherwise(F.array(p))))
+        return F.when(F.size(names) > 0, again).otherwise(parts)
+
+    return let(shown, look)
+
+
+def _redrawn(entities: DataFrame, key: str) -> DataFrame:
     """Rows (kind, canon, salt) of the entities whose first surrogate collides; entities has (kind, canon, form), distinct by kind and canon."""
     real = entities.select("kind", F.col("canon").alias("shown"))
     taken, left, redrawn = None, entities, None
-    for salt in range(most):
+    for salt in count():
         drawn = left.withColumn("shown", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("form"), F.lit(salt), key)))
         free = drawn.join(real, ["kind", "shown"], "left_anti")
         if taken is not None:
@@ -211,14 +273,12 @@ def _redrawn(entities: DataFrame, key: str, most: int) -> DataFrame:
         left = lost
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"surrogates still collide after {most} draws")
     empty = entities.select("kind", "canon", F.lit(0).alias("salt")).limit(0)
     return empty if redrawn is None else redrawn
 
 
-def replace_entities(docs: DataFrame, key: str = "tessera", text: str = "text", inline: int = 500, most: int = 64) -> DataFrame:
-    """docs with entities of `text` replaced, and n_entities (int).
+def replace_entities(docs: DataFrame, key: str, text: str = "text", inline: int = 500) -> DataFrame:
+    """docs with entities of `text` replaced, and n_entities (int). Who has the key can test guesses of an entity, so keep it secret.
 
     Null texts stay null, empty ones and texts without entities as they are (n_entities 0). Rows
     that repeat get the same result; an empty table gives an empty result; a column named
@@ -233,7 +293,7 @@ def replace_entities(docs: DataFrame, key: str = "tessera", text: str = "text",
     entities = materialize(
         found.groupBy("kind", canonical(F.col("kind"), F.col("form")).alias("canon")).agg(F.min("form").alias("form")), "entities"
     )
-    redrawn = materialize(_redrawn(entities, key, most), "redrawn")
+    redrawn = materialize(_redrawn(entities, key), "redrawn")
     few = redrawn.limit(inline + 1).collect()  # bounded by `inline`
     name = lambda s: F.concat_ws("|", s["kind"], canonical(s["kind"], s["form"]))
     rows = body

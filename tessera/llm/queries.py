@@ -37,7 +37,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    key = spark.conf.get("tessera.pii.key", "a key for tests only")
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key).select("doc_id", "n_entities", "text")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
