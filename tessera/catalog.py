@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import images, scalars, tokens
-from .operators import aggregates, attention, chimeras, density, heterogeneity, layers, learners, maps, models, quality, ranks, rows, significance, space, trees
+from .operators import aggregates, attention, chimeras, density, figures, heterogeneity, layers, learners, maps, models, quality, ranks, rows, significance, space, trees
 from .plans import preprocessing
-from .sources import reports
+from .sources import reports, tables
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,8 +179,7 @@ select s_suppkey, l_orderkey, l_linenumber from (
 """
 )
 def sample_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy(rows.sample_order(KEY[:4], 7), *KEY)
-    got = lines(spark, sf_dir).withColumn("rk", F.row_number().over(w)).where("rk <= 30")
+    got = rows.sample_per_group(lines(spark, sf_dir), "l_suppkey", 30, KEY[:4], 7, ties=KEY[4:])
     return got.select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber")
 
 
@@ -461,7 +460,11 @@ def acquisition_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.drift(ev, "user_id", "value", "t", 10, 3)
 
 
-@query()
+@query(
+    "with "
+    + _DRIFT
+    + " select median(pow(10.0::double, r)) as median_ratio, max(pow(10.0::double, r)) as max_ratio, median(pow(10.0::double, abs(e))) as median_end_ratio from g where n_windows >= 2"
+)
 def effect_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.effect_floor(acquisition_drift(spark, sf_dir))
 
@@ -510,18 +513,8 @@ select l_suppkey, bag, count(*) as n_rows, avg(l_quantity) as l_quantity__mean,
 """
 )
 def bagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = lines(spark, sf_dir)
-    order = F.md5(F.concat_ws("|", F.lit("42"), F.col("bag").cast("string"), *[F.col(c).cast("string") for c in KEY[:3]]))
-    w = Window.partitionBy("l_suppkey", "bag").orderBy(order, *KEY[:3], "l_quantity", "l_extendedprice")
-    drawn = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("rk", F.row_number().over(w)).where("rk <= 20")
-    return drawn.groupBy("l_suppkey", F.col("bag").cast("long").alias("bag")).agg(
-        F.count(F.lit(1)).alias("n_rows"), *[models.BAG_STATISTICS[s]("l_quantity").alias(f"l_quantity__{s}") for s in ("mean", "std", "median")]
-    )
-
-
-@query()
-def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.bags(lines(spark, sf_dir), "l_suppkey", MEASURES[:2], 3, 20, KEY, ("mean", "std", "median", "skew"))
+    made = models.bags(lines(spark, sf_dir), "l_suppkey", ["l_quantity"], 3, 20, KEY[:3], ("mean", "std", "median"), ties=("l_quantity", "l_extendedprice"))
+    return made.withColumn("bag", F.col("bag").cast("long"))
 
 
 @query(
@@ -638,12 +631,12 @@ def best_prefix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-select o_orderkey, o_custkey, c_name, c_acctbal from orders left join (select * from customer where c_custkey % 2 = 0) on o_custkey = c_custkey
+select c_custkey, c_name, n_orders, spent from customer left join (select o_custkey, count(*) as n_orders, sum(o_totalprice) as spent from orders group by 1) on o_custkey = c_custkey
 """
 )
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(side, "o_custkey", "left")
+    side = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spent"))
+    return tables.enrich(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), side, "c_custkey")
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
@@ -703,11 +696,7 @@ from lineitem join b on l_returnflag = g join (select l_returnflag as h, count(*
 """
 )
 def histogram_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = lines(spark, sf_dir).select(F.col("l_returnflag").alias("grp"), "l_quantity")
-    span = df.groupBy("grp").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.count(F.lit(1)).alias("n"))
-    width = (F.col("b") - F.col("a")) / 10
-    binned = df.join(span, "grp").groupBy("grp", F.least(F.floor((F.col("l_quantity") - F.col("a")) / width), F.lit(9)).cast("int").alias("bin"))
-    return binned.agg((F.count(F.lit(1)) / (F.first("n") * F.first(width))).alias("density"))
+    return figures.histogram(lines(spark, sf_dir).withColumnRenamed("l_returnflag", "grp"), "grp", "l_quantity", 10)
 
 
 @query(
@@ -718,8 +707,7 @@ select l_linestatus, regr_slope(q, b) as slope, regr_intercept(q, b) as intercep
 )
 def feature_vs_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = lines(spark, sf_dir).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    per = rows_.groupBy("l_linestatus", "l_suppkey").agg(F.median("l_quantity").alias("q"), F.first("s_acctbal").alias("b"))
-    return per.groupBy("l_linestatus").agg(F.regr_slope("q", "b").alias("slope"), F.regr_intercept("q", "b").alias("intercept"), F.regr_count("q", "b").alias("n"))
+    return figures.feature_vs_target(rows_, "l_linestatus", "l_suppkey", "l_quantity", "s_acctbal")
 
 
 @query("select l_returnflag, l_linestatus, l_returnflag || ' / ' || l_linestatus as label, count(*) as n from lineitem group by all")
@@ -899,3 +887,6 @@ def neighbour_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select unnest(['o_orderkey', 'o_orderstatus']) as \"column\", unnest(['bigint', 'string']) as type, count(*) as n, 0::bigint as missing, unnest([min(o_orderkey)::varchar, min(o_orderstatus)]) as minimum from orders")
 def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.inspect(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")).select("column", "type", "n", "missing", "minimum")
+
+
+from . import catalog_acquisition, catalog_indices  # noqa: E402, F401  these register further queries

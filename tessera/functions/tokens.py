@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the file-name convention.
+SPECIES = ("MNMS", "WORM", "WORMS", "FLY", "MOUSE")
+TREATMENTS = {t: c for c in ("Vehicule", "Arac15", "Arac30") for t in (c, c.lower(), c.upper())}
+#: Words that a name may hold and that say nothing.
+SILENT = ("export", "expor", "DR+", "P1", "bis", "BIS", "FlowAIFlagged", "P1Flagged", "DRFlagged")
 MARKERS = {"DR": "MtDeepRed", "DeepRed": "MtDeepRed", "DeepRed+": "MtDeepRed", "TMRM": "TMRM", "NM": "Not_Marked"}
 MARKER_ORDER = ("TMRM", "MtDeepRed", "Not_Marked")
 PASS_TOKENS = ("good", "events", "goodevents", "FlowAIGoodEvents")
@@ -56,6 +60,14 @@ def age_group(tokens: Column) -> Column:
     return lookup(AGE_GROUPS, one_of(tokens, tuple(AGE_GROUPS)))
 
 
+def specie(tokens: Column) -> Column:
+    return one_of(tokens, SPECIES)
+
+
+def treatment(tokens: Column) -> Column:
+    return lookup(TREATMENTS, one_of(tokens, tuple(TREATMENTS)))
+
+
 def dilution(tokens: Column) -> Column:
     return F.when(F.array_contains(tokens, "ND"), "Not_Diluted").otherwise("Diluted")
 

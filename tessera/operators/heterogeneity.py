@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import digamma
 from .layers import Layer, fit_layer
+from .space import fit_axes
 
 #: Groups with fewer rows are skipped.
 MIN_ROWS = 5
@@ -65,12 +67,17 @@ def absolute(df: DataFrame, group: str, reference: Layer) -> DataFrame:
     )
 
 
-def binned_entropy(df: DataFrame, group: str, features: Sequence[str], bins: int = 4) -> DataFrame:
-    """Per group: Shannon entropy of joint quantile cells over (dimensions x ln bins), within 0 and 1; at most five features.
+def binned_entropy(df: DataFrame, group: str, features: Sequence[str], bins: int = 4, dims: int = 5) -> DataFrame:
+    """Per group: Shannon entropy of joint quantile cells over (dimensions x ln bins), within 0 and 1.
 
-    A group's edges are its own quantiles; duplicate edges fall together.
+    More than `dims` features are first projected on that many principal axes of their z-scores,
+    those of the largest variance. A group's edges are its own quantiles; duplicate edges fall together.
     """
-    features = list(features)[:5]
+    features = list(features)
+    if len(features) > dims:
+        df = fit_layer(df, features).apply(df, "_z")
+        df = fit_axes(df, [f"{f}_z" for f in features], dims).project(df, "_axis")
+        features = [f"_axis{k + 1}" for k in range(dims)]
     rows = _big_enough(df, group)
     inner = [k / bins for k in range(1, bins)]
     edges = rows.groupBy(group).agg(*[F.percentile(f, inner).alias(f"_e_{f}") for f in features])
@@ -174,12 +181,29 @@ def bic(x: np.ndarray, k: int, seed: int = 42) -> float:
     return -2 * best + (k - 1 + k * d + k * d * (d + 1) / 2) * math.log(n)
 
 
-def structure(df: DataFrame, group: str, features: Sequence[str], max_k: int = 3, neighbours: int = 5) -> DataFrame:
-    """Per group: largest dip over at most three local components, the gain in BIC of the best mixture of 2..max_k, its size, kNN entropy.
+@cache
+def _uniform_dips(draws: int = 1000, size: int = 200, seed: int = 0) -> np.ndarray:
+    """Sorted dips of uniform samples times the root of their size, whose distribution hardly depends on it."""
+    rng = np.random.default_rng(seed)
+    return np.sort([dip(rng.random(size)) * math.sqrt(size) for _ in range(draws)])
+
+
+def dip_p_value(statistic: float, n: int) -> float:
+    """Share of uniform samples with a dip as large, from a thousand simulated ones."""
+    table = _uniform_dips()
+    return float(len(table) - np.searchsorted(table, statistic * math.sqrt(n), side="left")) / len(table)
+
+
+def structure(df: DataFrame, group: str, features: Sequence[str], max_k: int = 3, neighbours: int = 5, most_dims: int = 10) -> DataFrame:
+    """Per group: largest dip over at most three local components and its p value, the same of the distances to the centroid (features in
+    z-scores over all rows), the gain in BIC of the best mixture of 2..max_k on the local components that hold 95 % of the variance
+    (`most_dims` at most), its size, kNN entropy.
 
     A group is an individual: it is one unit of this operator, whose rows have to be seen together.
     """
     features = list(features)
+    of_all = df.agg(*[a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
+    middle, scale = (np.array([of_all[f"{k}_{f}"] or 0.0 for f in features], dtype=float) for k in "ms")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[features].to_numpy(dtype=float)
@@ -187,13 +211,17 @@ def structure(df: DataFrame, group: str, features: Sequence[str], max_k: int = 3
         z = (x - x.mean(axis=0)) / np.where(spread == 0, 1, spread)
         u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
         share = np.cumsum(s * s) / max((s * s).sum(), 1e-300)
-        dims = int(min(np.searchsorted(share, 0.95) + 1, 3, len(s)))
-        local = u[:, :dims] * s[:dims]
+        coords = u * s
+        dips = [dip(coords[:, j]) for j in range(min(3, len(s)))]
+        whole = (x - middle) / np.where(scale == 0, 1, scale)
+        apart = dip(np.linalg.norm(whole - whole.mean(axis=0), axis=1))
+        local = coords[:, : int(min(np.searchsorted(share, 0.95) + 1, most_dims, len(s)))]
         scores = [bic(local, k) for k in range(1, max_k + 1)] if len(x) > 3 * max_k else [math.nan]
         gain = scores[0] - min(scores[1:]) if len(scores) > 1 else math.nan
         size = int(np.nanargmin(scores)) + 1 if len(scores) > 1 else 1
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(x)], "dip": [max(dip(local[:, j]) for j in range(dims))], "delta_bic": [gain], "best_k": [size], "knn_entropy": [knn_entropy(z, neighbours)]})
+        row = {group: pdf[group].iloc[0], "n": len(x), "dip": max(dips), "dip_p": dip_p_value(max(dips), len(x)), "distance_dip": apart, "distance_dip_p": dip_p_value(apart, len(x))}
+        return pd.DataFrame([row | {"delta_bic": gain, "best_k": size, "knn_entropy": knn_entropy(z, neighbours)}])
 
     kind = df.schema[group].dataType.simpleString()
     rows = _big_enough(df, group).select(group, *features)
-    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, n long, dip double, delta_bic double, best_k long, knn_entropy double")
+    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, n long, dip double, dip_p double, distance_dip double, distance_dip_p double, delta_bic double, best_k long, knn_entropy double")

@@ -18,14 +18,14 @@ from .rows import sample_order
 BAG_STATISTICS: dict[str, Callable[[str], Column]] = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "skew": F.skewness}
 
 
-def bags(df: DataFrame, subject: str, features: Sequence[str], n_bags: int, size: int, key: Sequence[str], statistics: Sequence[str] = ("mean", "std"), seed: int = 42) -> DataFrame:
+def bags(df: DataFrame, subject: str, features: Sequence[str], n_bags: int, size: int, key: Sequence[str], statistics: Sequence[str] = ("mean", "std"), seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
     """Rows (subject, bag, n_rows, {feature}__{statistic}): each bag is `size` rows of a subject in the order of a digest of seed, bag and key.
 
     A subject with fewer rows gives all of them to each bag. std is the sample SD, skew the population skewness.
     """
     drawn = df.where(F.col(subject).isNotNull()).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("bag").cast("string"), *[F.col(c).cast("string") for c in key]))
-    ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy(subject, "bag").orderBy(order, *key))).where(F.col("_rank") <= size)
+    ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy(subject, "bag").orderBy(order, *key, *ties))).where(F.col("_rank") <= size)
     aggs = [BAG_STATISTICS[s](f).alias(f"{f}__{s}") for f in features for s in statistics]
     return ranked.groupBy(subject, "bag").agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
 
@@ -127,6 +127,53 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(out.mean())
 
 
+def scan_clusters(df: DataFrame, features: Sequence[str], candidates: Sequence[int], key: Sequence[str], sample: int = 10_000, algorithm: str = "kmeans", seed: int = 42) -> list[dict]:
+    """For each number of clusters: silhouette and, by algorithm, inertia (k-means over all rows) or BIC (Gaussian mixtures), and the smallest cluster's share.
+
+    Silhouettes and mixtures are of at most `sample` rows, chosen by digest of the key.
+    """
+    if algorithm not in ("kmeans", "gmm"):
+        raise ValueError("algorithm must be kmeans or gmm")
+    features = list(features)
+    rows = df.dropna(subset=features)
+    x = rows.orderBy(sample_order(key, seed), *key).limit(sample).select(*features).toPandas().to_numpy(dtype=float)
+    out = []
+    for k in candidates:
+        if algorithm == "kmeans":
+            model = fit_clusters(df, features, k, key, sample=sample, seed=seed)
+            got = model.assign(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow("c_distance", 2)).alias("s")).collect()
+            sizes, inertia, score = [r["n"] for r in got], float(sum(r["s"] for r in got)), math.nan
+            labels = ((x[:, None] - np.array(model.centroids)[None]) ** 2).sum(axis=2).argmin(axis=1)
+        else:
+            _, weight, mean, cov = gaussian_mixture(x, k, seed)
+            inertia, score = math.nan, bic(x, k, seed)
+            logs = [math.log(max(w, 1e-300)) - 0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) for w, m, c in zip(weight, mean, cov, strict=True)]
+            labels = np.argmax(logs, axis=0)
+            sizes = np.bincount(labels, minlength=k).tolist()
+        share = min(sizes) / sum(sizes) if len(sizes) == k else 0.0
+        out.append({"n_clusters": k, "silhouette": silhouette(x, labels), "bic": score, "inertia": inertia, "smallest_share": share})
+    return out
+
+
+def choose_clusters(table: Sequence[dict], algorithm: str = "kmeans") -> int:
+    """The number with the highest silhouette (k-means; the first of equal ones, undefined ones last) or the lowest BIC (mixtures)."""
+    if algorithm == "kmeans":
+        return max(table, key=lambda r: -math.inf if math.isnan(r["silhouette"]) else r["silhouette"])["n_clusters"]
+    return min(table, key=lambda r: r["bic"])["n_clusters"]
+
+
+def feature_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per feature: mean, population standard deviation, minimum and maximum of the values that aren't missing."""
+    x = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    row = lambda f: F.struct(F.lit(f).alias("feature"), F.avg(x(f)).alias("mean"), F.stddev_pop(x(f)).alias("sd"), F.min(x(f)).alias("low"), F.max(x(f)).alias("high"))
+    return df.agg(F.array(*[row(f) for f in features]).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def atypical_share(assigned: DataFrame, limit: float, label: str = "cluster") -> DataFrame:
+    """Per cluster: rows, and the share of those that lie beyond the model's distance limit."""
+    return assigned.groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col(f"{label}_distance") > limit).cast("double")).alias("atypical_share"))
+
+
 def drift_from_training(df: DataFrame, training: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: shift of the mean, share outside the training range, and a flag (shift over 1 or share over 5 %)."""
     t = training.agg(*[a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.min(f).alias(f"a_{f}"), F.max(f).alias(f"b_{f}"))]).first()

@@ -1,17 +1,13 @@
-"""Acquisition quality: drift, gates, flow rate and signal checks."""
+"""Acquisition quality: drift, gates and pairs of files."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import t_quantile
-
 
 def window_medians(df: DataFrame, subject: str, channel: str, time: str, windows: int = 20, least: int = 100) -> DataFrame:
     """Rows (subject, bucket, n, med): median log10 of the positive channel in equal time windows of each subject, the last one closed."""
@@ -100,126 +96,3 @@ def best_pairs(names: DataFrame, stained: Column, ignore: Sequence[str] = ()) ->
     top = joined.withColumn("most", F.max("common").over(w)).where("common is null or common = most")
     ranked = top.withColumn("n_candidates", F.count("unstained_file").over(w)).withColumn("rk", F.row_number().over(w.orderBy("unstained_file")))
     return ranked.where("rk = 1").select("stained_file", "unstained_file", F.col("common").alias("common_tokens"), (F.col("n_candidates") > 1).alias("several"))
-
-
-# --- kernels on the bins or events of one file -------------------------------------------------
-
-
-def rate_bins(time: np.ndarray, step: float, fraction: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by right-closed bins, with an empty one in front, and each event's bin (from 2)."""
-    width = fraction / step
-    ids = np.maximum(np.ceil(time / width - 1e-12), 1).astype(int)
-    n = int(ids.max())
-    return np.concatenate([[0], np.bincount(ids, minlength=n + 1)[1:]]), ids + 1
-
-
-def cycle(series: np.ndarray, low: float = 2.0, high: float = 8.0) -> np.ndarray:
-    """Asymmetric band-pass of a random walk with periods between low and high."""
-    n = len(series)
-    a, b = 2 * math.pi / high, 2 * math.pi / low
-    lags = np.arange(1, n)
-    weight = np.concatenate([[(b - a) / math.pi], (np.sin(lags * b) - np.sin(lags * a)) / (math.pi * lags)])
-    # what is left for an end that lies k + 1 steps away
-    end = -0.5 * weight[0] - np.concatenate([[0], np.cumsum(weight[1:])])
-    out = np.empty(n)
-    for t in range(n):
-        w = weight[np.abs(np.arange(n) - t)].copy()
-        w[0] = end[t - 1] if t else 0.5 * weight[0]
-        w[-1] = end[n - 2 - t] if t < n - 1 else 0.5 * weight[0]
-        out[t] = w @ series
-    return out
-
-
-def esd_outliers(series: np.ndarray, spread: float, alpha: float = 0.01, most: float = 0.49) -> np.ndarray:
-    """Positions that the generalised extreme studentised deviate test calls anomalous."""
-    n = len(series)
-    left, removed, last = list(range(n)), [], 0
-    if spread <= 0:
-        return np.array([], dtype=int)
-    for i in range(1, int(n * most) + 1):
-        values = series[left]
-        dev = np.abs(values - np.median(values)) / spread
-        at = int(dev.argmax())
-        p = 1 - alpha / (2 * (n - i + 1))
-        t = t_quantile(p, n - i - 1)
-        limit = t * (n - i) / math.sqrt((n - i - 1 + t * t) * (n - i + 1))
-        removed.append(left.pop(at))
-        if dev[at] > limit:
-            last = i
-        elif i > last + 25:  # far below the limit: the later ones are smaller still
-            break
-    return np.array(sorted(removed[:last]), dtype=int)
-
-
-def changepoints(series: np.ndarray, penalty: float = 200.0, most: int = 3, least: int = 2) -> list[int]:
-    """Binary segmentation for changes of mean or variance; the length closes the list."""
-    n = len(series)
-    s1, s2 = np.concatenate([[0], np.cumsum(series)]), np.concatenate([[0], np.cumsum(series**2)])
-
-    def cost(a: int, b) -> np.ndarray:
-        m = b - a
-        var = np.maximum((s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / m) / m, 1e-11)
-        return m * (np.log(2 * math.pi) + np.log(var) + 1)
-
-    cuts: list[int] = []
-    while len(cuts) < most:
-        best = (0.0, -1)
-        for a, b in zip([0, *sorted(cuts)], [*sorted(cuts), n], strict=True):
-            k = np.arange(a + least + 1, b - least)
-            if len(k):
-                gain = cost(a, np.array(b)) - cost(a, k) - np.array([cost(int(x), np.array(b)) for x in k])
-                if gain.max() > best[0]:
-                    best = (float(gain.max()), int(k[gain.argmax()]))
-        if best[0] <= penalty:
-            break
-        cuts.append(best[1])
-    return [*sorted(cuts), n]
-
-
-def dynamic_range(df: DataFrame, channels: Sequence[str], tops: dict[str, float], mads: float = 3.5) -> DataFrame:
-    """df with range_ok: no channel at or above its range, or at or below the lower outlier limit of its negative values."""
-    limits = {}
-    for c in channels:
-        neg = df.where(F.col(c) < 0)
-        m = neg.agg(F.median(c).alias("m")).first()["m"]
-        mad = neg.agg(F.median(F.abs(F.col(c) - F.lit(m))).alias("d")).first()["d"] if m is not None else None
-        limits[c] = m - mads * mad / 0.6745 if mad is not None else None
-    bad = F.lit(False)
-    for c in channels:
-        bad = bad | (F.col(c) >= tops[c])
-        if limits[c] is not None:
-            bad = bad | (F.col(c) <= limits[c])
-    return df.withColumn("range_ok", ~bad)
-
-
-def quality(df: DataFrame, file: str, time: str, channels: Sequence[str], step: float, fraction: float = 0.1, penalty: float = 200.0, most: int = 3, least: int = 2) -> DataFrame:
-    """df with rate_ok and signal_ok; a file is one unit, whose events are put in time order."""
-    channels = list(channels)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(pdf[time].to_numpy(dtype=float), kind="stable")
-        t = pdf[time].to_numpy(dtype=float)[order]
-        counts, ids = rate_bins(t, step, fraction)
-        rate = np.ones(len(t), dtype=bool)
-        if len(set(counts[1:])) > 1:
-            mad = 1.4826 * np.median(np.abs(counts - np.median(counts)))
-            rate = ~np.isin(ids - 1, esd_outliers(counts.astype(float), mad))
-        size = min(max(1, math.ceil(len(t) / 100)), 500)
-        bins = np.arange(len(t)) // size
-        x = pdf[channels].to_numpy(dtype=float)[order]
-        n_bins = bins[-1] + 1
-        cuts = {0, n_bins}
-        for j in range(len(channels)):
-            med = pd.Series(x[:, j]).groupby(bins).median().to_numpy()
-            cuts |= set(changepoints(med, penalty, most, least))
-        edges = sorted(cuts)
-        a, b = max(zip(edges, edges[1:], strict=False), key=lambda e: e[1] - e[0])
-        signal = (bins >= a) & (bins < b)
-        out = pdf.copy()
-        back = np.empty(len(t), dtype=int)
-        back[order] = np.arange(len(t))
-        out["rate_ok"], out["signal_ok"] = rate[back], signal[back]
-        return out
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", rate_ok boolean, signal_ok boolean"
-    return df.groupBy(file).applyInPandas(one, schema)

@@ -62,21 +62,19 @@ def sample_order(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
 
 
-def sample_per_group(df: DataFrame, group: str, n: int, key: Sequence[str], seed: int = 0, replace_if_short: bool = False) -> DataFrame:
-    """n rows of each group in digest order; short groups give all rows, or with replace_if_short n draws of them.
+def sample_per_group(df: DataFrame, group: str, n: int, key: Sequence[str], seed: int = 0, replace_if_short: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """n rows of each group in digest order, then by key and ties; short groups give all rows, or with replace_if_short n draws of them.
 
-    Null groups are dropped.
+    Null groups are dropped. Ranks up to n alone are asked for, so each task keeps n rows of a group before the exchange.
     """
-    w = Window.partitionBy(group)
-    ranked = (
-        df.where(F.col(group).isNotNull())
-        .withColumn("_rank", F.row_number().over(w.orderBy(sample_order(key, seed), *key)))
-        .withColumn("_n", F.count(F.lit(1)).over(w))
-    )
-    enough = ranked.where(F.col("_rank") <= n)
+    named = df.where(F.col(group).isNotNull())
+    place = F.row_number().over(Window.partitionBy(group).orderBy(sample_order(key, seed), *key, *ties))
+    enough = named.withColumn("_rank", place).where(F.col("_rank") <= n)
     if not replace_if_short:
-        return enough.drop("_rank", "_n")
-    short = ranked.where(F.col("_n") < n)
+        return enough.drop("_rank")
+    sizes = named.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    enough = enough.join(sizes, group)
+    short = enough.where(F.col("_n") < n)
     draws = (
         short.select(group, "_n").distinct().select(group, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_draw"), "_n")
     ).withColumn(

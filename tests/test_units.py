@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import special, tokens
 from tessera.operators import heterogeneity as het
-from tessera.operators import models, quality, ranks, rows, trees
+from tessera.operators import flow, models, ranks, rows, trees
 from tessera.sources import fcs, tables
 
 
@@ -71,14 +71,12 @@ def test_dip_tells_two_peaks_from_one():
 
 
 def test_quality_kernels():
-    counts, ids = quality.rate_bins(np.array([0.0, 10, 11, 20]), 0.01, 0.1)
-    assert counts.tolist() == [0, 2, 2] and ids.tolist() == [2, 2, 3, 3]
-    impulse = quality.cycle(np.array([0.0, 0, 1, 0, 0]))
+    impulse = flow.cycle(np.array([0.0, 0, 1, 0, 0]))
     assert impulse[2] == pytest.approx(0.75)
     assert impulse[1] == pytest.approx((math.sin(math.pi) - math.sin(math.pi / 4)) / math.pi)
     rng = np.random.default_rng(2)
-    assert quality.changepoints(np.concatenate([rng.normal(0, 1, 50), rng.normal(8, 1, 50)]), penalty=20)[0] == 50
-    assert quality.changepoints(np.zeros(100)) == [100]
+    assert flow.changepoints(np.concatenate([rng.normal(0, 1, 50), rng.normal(8, 1, 50)]), penalty=20)[0] == 50
+    assert flow.changepoints(np.zeros(100)) == [100]
 
 
 def test_trees():
