@@ -3,7 +3,7 @@
 A text is cut into lines at line feeds, and a written line of `long` characters or more, a
 paragraph, into its sentences. Each such line has a digest; a rolling value over the digests of
 `window` lines ends a chunk after a line where it is 0 modulo `every`, and a paragraph also begins
-and ends one. So boundaries depend on nearby text alone, and a passage that is moved, or has other
+and ends one, and no rolling value reaches beyond its ends. So boundaries depend on nearby text alone, and a passage that is moved, or has other
 text around it, is cut at the same places. A chunk whose digest occurs elsewhere too is compared
 byte by byte with the first such chunk in order of (doc_id, digest of the text, place); if equal,
 it is removed. Chunks of one line below `long` go only with a removed chunk beside them.
@@ -64,9 +64,14 @@ def chunks(lines: Column, window: int, every: int) -> Column:
 
     def ends(digests: Column) -> Column:
         def rolled(k: Column) -> Column:
-            out = F.lit(0).cast("long")
-            for back in reversed(range(window)):
-                out = (out * 31 + F.coalesce(F.get(digests, k - 1 - back), F.lit(0).cast("long")) % _MODULUS) % _MODULUS
+            values, here = [], F.lit(True)
+            for back in range(window):
+                if back:  # not beyond the begin of a paragraph
+                    here = here & ~F.coalesce(F.get(lines, k - 1 - back)["ends"], F.lit(True))
+                values.append(F.when(here, F.get(digests, k - 1 - back) % _MODULUS).otherwise(F.lit(0).cast("long")))
+            out = values.pop()
+            while values:
+                out = (out * 31 + values.pop()) % _MODULUS
             return out
 
         return F.filter(F.sequence(F.lit(1), total), lambda k: (k == total) | F.get(lines, k - 1)["ends"] | (rolled(k) % every == 0))

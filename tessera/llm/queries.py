@@ -166,7 +166,7 @@ placed as (select doc_id, k, li, apart, unnest(ps) as t, generate_subscripts(ps,
 lines as (select *, row_number() over (partition by doc_id, k order by li, j) as i, apart and j = m as stop, rtrim(t, ' ' || chr(10)) as bare from placed),
 hashed as (select *, ('0x' || substr(md5(bare), 1, 15))::bigint as h from lines),
 rolled as (
-  select *, ((coalesce(lag(h) over w % 1000003, 0)) * 31 + h % 1000003) % 1000003 as r, count(*) over (partition by doc_id, k) as total
+  select *, (case when lag(stop) over w then 0 else coalesce(lag(h) over w % 1000003, 0) end * 31 + h % 1000003) % 1000003 as r, count(*) over (partition by doc_id, k) as total
   from hashed window w as (partition by doc_id, k order by i)),
 cut as (select *, coalesce(sum(((r % 6 = 0 or stop) and i < total)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0) as c from rolled),
 chunks as (select doc_id, k, c, count(*) as n, string_agg(bare, chr(10) order by i) as txt, string_agg(t, '' order by i) as whole from cut group by doc_id, k, c),
