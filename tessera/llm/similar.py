@@ -8,8 +8,10 @@ each candidate pair is verified on the shingles of both texts.
 Only links between documents that aren't yet known to be connected are worth a comparison. First
 each document is compared with the smallest one it shares a key with, which joins most groups.
 Then keys whose documents lie in several components remain: up to `cap` documents are compared
-pair by pair, a larger crowd with one pivot at a time, which then leaves the crowd. After `rounds`
-pivots what is left of a crowd is compared pair by pair, so no link between components is skipped.
+pair by pair, a larger crowd with a pivot. What is then left of crowds, documents that are alike but
+mostly not alike enough, gets other keys: of a document's shingles the rarest, so many that two
+documents at the threshold must share one (the prefix filter of exact similarity joins). Its larger
+crowds are compared with `rounds` pivots and at last in blocks, so no link is skipped.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, materialize, remove
+from .common import HOT_SHARE, components, give_back, join_hot, materialize, remove
 from .simhash import _LOWER, _WORDS
 
 #: Shingles whose minima are taken at a time.
@@ -85,12 +88,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return linked
 
 
+def _rarest(nodes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Rows (key, node, m, near): of each document the rarest of its shingles, so many that two documents at the threshold share one, without those that no other has.
+
+    m is the number of its shingles. The shared one is `near`, among fewer of the rarest, in the
+    document with fewer shingles, as two of these lengths must have that much in common.
+    """
+
+    @F.arrow_udf("array<long>")
+    def values(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in parts:
+            yield pa.array([shingles(t.as_py(), width).view(np.int64) for t in some], type=pa.list_(pa.int64()))
+        give_back()
+
+    own = materialize(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", values("text").alias("s")), "shingles")
+    long = own.select("node", F.explode("s").alias("key"))
+    total = long.count()
+    often = materialize(long.groupBy("key").agg(F.count("*").alias("n")).withColumn("hot", F.col("n") * HOT_SHARE >= total), "often")
+    ranked = join_hot(long, often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    # a rounding error may only make these longer
+    first = lambda share: (F.size("s") - F.ceil(F.lit(share - 1e-9) * F.size("s")) + 1).cast("int")
+    known = F.transform(F.slice("s", F.lit(1), first(threshold)), lambda x, i: F.struct(x["key"].alias("key"), x["n"].alias("n"), (i < first(2 * threshold / (1 + threshold))).alias("near")))
+    return ranked.select("node", F.size("s").alias("m"), F.explode(F.filter(known, lambda x: x["n"] > 1)).alias("x")).select("x.key", "node", "m", "x.near")
+
+
+#: Documents of a block, two of which are compared in one task.
+_SIDE = 256
+
+
+def _in_blocks(rows: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (u, v) between documents of different roots that keys connect; rows has (key, node, root).
+
+    Documents that share keys, directly or not, are one crowd, dealt into blocks; each two blocks
+    are compared in one task, so a text travels once for each block and only a forest comes back.
+    """
+    nodes = rows.select("key", "node", "root")
+    star = nodes.join(nodes.groupBy("key").agg(F.min("node").alias("low")), "key").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    tag = lambda c: F.concat_ws("|", F.col(f"{c}.no_id").cast("string"), F.col(f"{c}.id").cast("string"), F.col(f"{c}.digest").cast("string"))
+    crowd = components(star).select("node", tag("root").alias("crowd"))
+    known = materialize(
+        nodes.select("node", "root").distinct().join(crowd, "node").join(texts.dropDuplicates(["node"]), "node").select("node", tag("node").alias("tag"), tag("root").alias("root"), "crowd", "text"), "crowd"
+    )
+    sizes = known.groupBy("crowd").agg(F.ceil(F.count("*") / _SIDE).cast("int").alias("blocks"))
+    dealt = known.drop("node").join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, "crowd").withColumn("b", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
+    cell = lambda c: F.struct(F.least("b", c).alias("x"), F.greatest("b", c).alias("y"), (c == F.col("b")).alias("own"), F.col("b").alias("b"))
+    cells = dealt.select("crowd", "tag", "root", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)).alias("c")).select("crowd", "tag", "root", "text", "c.*")
+    rows_of_cells = cells.count()
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, rows_of_cells // _SIDE))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [frozenset(shingles(t, width).tolist()) for t in pdf["text"]]
+        tags, own, block = pdf["tag"].tolist(), pdf["own"].tolist(), pdf["b"].tolist()
+        of_root = {r: k for k, r in enumerate(dict.fromkeys(pdf["root"]))}
+        top = list(range(len(of_root)))
+
+        def find(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        place = [of_root[r] for r in pdf["root"]]
+        order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+        out = []
+        for i, a in enumerate(order):
+            for b in order[i + 1 :]:
+                if len(sets[a]) < (threshold - 1e-9) * len(sets[b]):
+                    break  # the others have more shingles still
+                if (own[a] and own[b]) != (block[a] == block[b]) or find(place[a]) == find(place[b]):
+                    continue
+                both = len(sets[a] & sets[b])
+                if both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+                    top[find(place[a])] = find(place[b])
+                    out.append((tags[a], tags[b]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=object)
+
+    met = materialize(cells.repartition(parts, "crowd", "x", "y").groupBy("crowd", "x", "y").applyInPandas(compare, "u string, v string"), "met")
+    name = known.select("tag", "node")
+    links = met.join(name.toDF("u", "a"), "u").join(name.toDF("v", "b"), "v").select(*_ordered("a", "b"))
+    return materialize(links, "similar-links")
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
 def similar_to_smaller(
-    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 16, rounds: int = 4, seed: int = 11
+    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 16, rounds: int = 2, seed: int = 11
 ) -> DataFrame:
     """Rows (doc_id, digest), digest the xxhash64 of the text: documents that links of similarity `threshold` join to a smaller document.
 
@@ -117,35 +201,50 @@ def similar_to_smaller(
     tested = materialize(met.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")).select(*_ordered("node", "pivot")), "similar-pairs")
     links = _verified(tested, texts, width, threshold)
     found = materialize(components(links), "components")
-    crowd = met.select("key", "node")
-    for turn in range(rounds + 1):
-        of_root = crowd.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = (
-            of_root.groupBy("key")
-            .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-            .where("a <> b")
-            .withColumn("all", (F.col("n") <= cap) | F.lit(turn == rounds))
-            .select("key", "pivot", "all")
-        )
-        rows_left = materialize(of_root.join(open_keys, "key"), "crowds")
-        whole, part = rows_left.where("all"), rows_left.where("not all")
-        pivots = part.where("node = pivot").select("key", F.col("root").alias("other_root"))
-        others = whole.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = (
-            whole.join(others, "key")
-            .where("node > other and root <> other_root")
-            .select(*_ordered("node", "other"))
-            .unionByName(part.join(pivots, "key").where("root <> other_root").select(*_ordered("node", "pivot")))
-            .distinct()
-            .join(tested, ["u", "v"], "left_anti")
-        )
-        pairs = materialize(pairs, "similar-pairs")
-        if not pairs.isEmpty():
-            links = links.unionByName(_verified(pairs, texts, width, threshold))
-            found = materialize(components(links), "components")
-            tested = tested.unionByName(pairs)
-        crowd = part.where("node <> pivot").select("key", "node")
-        if crowd.isEmpty():
+    keyed = met.select("key", "node", F.lit(0).alias("m"), F.lit(True).alias("near"))
+    for last in (False, True):
+        for turn in range((rounds if last else 1) + 1):
+            of_root = keyed.join(found, "node", "left").select("key", "node", "m", "near", F.coalesce("root", "node").alias("root"))
+            open_keys = (
+                of_root.groupBy("key")
+                .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+                .where("a <> b")
+                .withColumn("all", F.col("n") <= cap)
+                .select("key", "pivot", "all")
+            )
+            rows_left = materialize(of_root.join(open_keys, "key"), "crowds")
+            whole, part = rows_left.where("all"), rows_left.where("not all")
+            if not last and turn:
+                break
+            if last and turn == rounds:
+                links = links.unionByName(_in_blocks(rows_left, texts, width, threshold))
+                found = materialize(components(links), "components")
+                break
+            second = [F.col(c).alias(f"other_{c}") for c in ("node", "root", "m", "near")]
+            pivots, others = part.where("node = pivot").select("key", *second), whole.select("key", *second)
+            mine = F.struct("m", "node") < F.struct("other_m", "other_node")
+            may = (F.when(mine, F.col("near")).otherwise(F.col("other_near"))) & (F.least("m", "other_m") >= (threshold - 1e-9) * F.greatest("m", "other_m"))
+            pairs = (
+                whole.join(others, "key")
+                .where("node > other_node")
+                .unionByName(part.join(pivots, "key"))
+                .where(may & (F.col("root") != F.col("other_root")))
+                .select(*_ordered("node", "other_node"))
+                .distinct()
+                .join(tested, ["u", "v"], "left_anti")
+            )
+            pairs = materialize(pairs, "similar-pairs")
+            if not pairs.isEmpty():
+                links = links.unionByName(_verified(pairs, texts, width, threshold))
+                found = materialize(components(links), "components")
+                tested = tested.unionByName(pairs)
+            # small keys are done, and so is a pivot
+            keyed = part.where("node <> pivot").select("key", "node", "m", "near")
+            if keyed.isEmpty():
+                break
+        if keyed.isEmpty():
             break
+        if not last:
+            keyed = materialize(_rarest(rows_left.select("node").distinct(), texts, width, threshold), "rarest")
     out = found.where("node <> root").select("node")
     return out.select(F.when(~F.col("node.no_id"), F.col("node.id")).alias("doc_id"), F.col("node.digest").alias("digest"))
