@@ -10,8 +10,8 @@ each document is compared with the smallest one it shares a key with, which join
 Then keys whose documents lie in several components remain: up to `cap` documents are compared
 pair by pair, a larger crowd with a pivot. What is then left of crowds, documents that are alike but
 mostly not alike enough, gets other keys: of a document's shingles the rarest, so many that two
-documents at the threshold must share one (the prefix filter of exact similarity joins). Its larger
-crowds are compared with `rounds` pivots and at last in blocks, so no link is skipped.
+documents at the threshold must share one (the prefix filter of exact similarity joins). Such
+documents are compared in blocks, after `rounds` more pivots, so no link is skipped.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def _in_blocks(rows: DataFrame, texts: DataFrame, width: int, threshold: float)
     tag = lambda c: F.concat_ws("|", F.col(f"{c}.no_id").cast("string"), F.col(f"{c}.id").cast("string"), F.col(f"{c}.digest").cast("string"))
     crowd = components(star).select("node", tag("root").alias("crowd"))
     known = materialize(
-        nodes.select("node", "root").distinct().join(crowd, "node").join(texts.dropDuplicates(["node"]), "node").select("node", tag("node").alias("tag"), tag("root").alias("root"), "crowd", "text"), "crowd"
+        nodes.select("node", "root").distinct().join(crowd, "node").join(texts.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node").select("node", tag("node").alias("tag"), tag("root").alias("root"), "crowd", "text"), "crowd"
     )
     sizes = known.groupBy("crowd").agg(F.ceil(F.count("*") / _SIDE).cast("int").alias("blocks"))
     dealt = known.drop("node").join(F.broadcast(sizes) if sizes.limit(1001).count() <= 1000 else sizes, "crowd").withColumn("b", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
@@ -174,7 +174,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def similar_to_smaller(
-    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 16, rounds: int = 2, seed: int = 11
+    docs: DataFrame, text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 6, cap: int = 16, rounds: int = 0, seed: int = 11
 ) -> DataFrame:
     """Rows (doc_id, digest), digest the xxhash64 of the text: documents that links of similarity `threshold` join to a smaller document.
 
@@ -246,5 +246,7 @@ def similar_to_smaller(
             break
         if not last:
             keyed = materialize(_rarest(rows_left.select("node").distinct(), texts, width, threshold), "rarest")
+    for done in (signed, placed, met):
+        remove(done)
     out = found.where("node <> root").select("node")
     return out.select(F.when(~F.col("node.no_id"), F.col("node.id")).alias("doc_id"), F.col("node.digest").alias("digest"))
