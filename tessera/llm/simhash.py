@@ -14,7 +14,6 @@ as well and whole fingerprints are fetched, a bounded number for each, whatever
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import components, give_back, materialize
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles hashed at a time; bounds the memory that one very long text takes.
 _BLOCK = 1 << 16
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words in UTF-8, A-Z lower-cased; bytes.lower and bytes.split know ASCII letters, and blanks \\x20 and \\x09 to \\x0D, alone."""
+    return text.encode().lower().split() if text else []
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Signed 64-bit SimHash: a bit is 1 if set in over half the XXH64 values (seed 42) of the word shingles, repeats counted.
 
     Fewer than `width` words make one shingle of all of them; none (null, empty, blank) gives 0.
     """
-    words = _WORDS.findall(text.translate(_LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
@@ -45,9 +47,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     for at in range(0, n, _BLOCK):
         part = words[at : min(at + _BLOCK, n) + width - 1]
         if len(part) <= width:
-            shingles = [" ".join(part)]
+            shingles = [b" ".join(part)]
         else:
-            shingles = map(" ".join, zip(*(part[k:] for k in range(width)), strict=False))
+            shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False))
         h = np.fromiter((digest(s, 42) for s in shingles), dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > n, bitorder="little")

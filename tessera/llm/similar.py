@@ -16,6 +16,7 @@ documents are compared in blocks, after `rounds` more pivots, so no link is skip
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, components, give_back, join_hot, materialize, remove
-from .simhash import _LOWER, _WORDS
+from .simhash import words_of
 
-#: Shingles whose minima are taken at a time.
-_BLOCK = 2048
+#: Shingles whose minima are taken at a time: all keys of a block stay in a core's cache.
+_BLOCK = 256
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Distinct 64-bit values of the word shingles, sorted; fewer than `width` words make one shingle of all of them, none an empty array."""
-    words = _WORDS.findall(text.translate(_LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -54,13 +55,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def band_keys(values: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
+@functools.cache
+def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+    a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a[:, None], rng.integers(0, 1 << 63, n, dtype=np.uint64)[:, None]
+
+
+def band_keys(values: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
+    a, b = _hashes(bands * rows, seed)
     low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    room = np.empty((bands * rows, _BLOCK), dtype=np.uint64)
     for at in range(0, len(values), _BLOCK):
-        low = np.minimum(low, (a[:, None] * values[None, at : at + _BLOCK] + b[:, None]).min(axis=1))
+        part = values[None, at : at + _BLOCK]
+        h = np.multiply(a, part, out=room[:, : part.shape[1]])
+        np.minimum(low, np.add(h, b, out=h).min(axis=1), out=low)
     return [xxhash.xxh64_intdigest(band.tobytes()) - (1 << 63) for band in low.reshape(bands, rows)]
 
 
