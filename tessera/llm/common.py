@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIR: list[str] = []
+#: Lists that take the folders materialize() writes, innermost last.
+_TAKERS: list[list[str]] = []
+#: Drops a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,23 +41,50 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors, and needs no shuffle files any more."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _TAKERS:
+        _TAKERS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete what materialize() wrote for df."""
-    spark = df.sparkSession
+    delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders that materialize() or shared_path() named."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in folders:
         if "/tessera/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def written_folders() -> Iterator[list[str]]:
+    """A list that takes the folders materialize() writes meanwhile."""
+    _TAKERS.append([])
+    try:
+        yield _TAKERS[-1]
+    finally:
+        _TAKERS.pop()
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of ended queries: it waits for the driver's JVM to collect, and a driver with little to do seldom does."""
+    give_back()
+    spark._jvm.java.lang.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory to the system: the driver and Python workers outlive what a task or fit held."""
     gc.collect()

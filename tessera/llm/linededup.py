@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, remove
 
 #: Values below this fit the rolling sum in a long.
 _MODULUS = 1_000_003
@@ -158,6 +158,8 @@ def drop_repeated_chunks(
         shown.where("not is_first").withColumn("salt", salt).join(dealt, ["digest", "salt"]).where("bytes <> first_bytes").select(F.col("doc_id").alias("_ld_id"), F.col("_ld_key").alias("_ld_of"), "at"),
         "differ",
     )
+    for done in (listed, repeated, found, shown):
+        remove(done)
     spared = F.array().cast("array<int>")
     if not differ.isEmpty():  # two texts with one digest
         listed = differ.groupBy("_ld_id", "_ld_of").agg(F.collect_set("at").alias("_ld_spared"))

@@ -174,8 +174,10 @@ def _in_blocks(rows: DataFrame, texts: DataFrame, width: int, threshold: float)
 
     met = materialize(cells.repartition(parts, "crowd", "x", "y").groupBy("crowd", "x", "y").applyInPandas(compare, "u string, v string"), "met")
     name = known.select("tag", "node")
-    links = met.join(name.toDF("u", "a"), "u").join(name.toDF("v", "b"), "v").select(*_ordered("a", "b"))
-    return materialize(links, "similar-links")
+    links = materialize(met.join(name.toDF("u", "a"), "u").join(name.toDF("v", "b"), "v").select(*_ordered("a", "b")), "similar-links")
+    for done in (known, met):
+        remove(done)
+    return links
 
 
 def _ordered(a: str, b: str) -> list[Column]:
