@@ -1,23 +1,51 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+A stage's result must be written before the next stage is called: that call removes what the one before left in the shared folder.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, linededup, mixing, similar, simhash, toxicity
-from tessera.llm.common import shared_path
+from tessera.llm.common import collect_garbage, delete, shared_path, written_folders
 from tessera.llm.queries import table, vocabulary_path
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of intermediate tables that the last stage's result reads.
+_LEFT: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """The stage, which first removes what the one before needed, if docs come from files that aren't among these."""
 
+    @functools.wraps(function)
+    def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        if files and not any(f"/{folder.rsplit('/', 1)[1]}/" in f for folder in _LEFT for f in files):
+            delete(spark, _LEFT)
+            _LEFT.clear()
+            collect_garbage(spark)
+        with written_folders() as folders:
+            out = function(spark, docs, sf_dir)
+        _LEFT.extend(folders)
+        return out
+
+    return clean
+
+
+@stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more go; the model learns from the labelled ones that aren't held out."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go from the texts; n_chars, if there is one, is counted anew (null for null texts). No document goes."""
     done = linededup.drop_repeated_chunks(docs)
@@ -26,6 +54,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return done.select(*docs.columns)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays.
 
@@ -34,17 +63,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_duplicates(docs, gone=similar.similar_to_smaller(docs))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes, in training order."""
     return mixing.training_order(mixing.mix(docs)).select(*docs.columns)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of each row."""
     return bpe.roundtrip_digests(docs, vocabulary_path())
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("line_dedup", cut_repeated_passages),
@@ -59,8 +89,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, apply in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
