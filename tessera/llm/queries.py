@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, linededup, media, mixing, pii, simhash, toxicity, warc
+from . import bpe, chat, embeddings, linededup, media, mixing, pages, phrases, pii, simhash, toxicity, warc, whitening
 
 VOCABULARY = "word_bpe_49k.json"
 #: What op4 adds to the conversations: texts that look like a template's control strings.
@@ -114,10 +114,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = white.select("vec_id", "n", F.expr("try_cast(deviation as long)").alias("deviation"), "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error"
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main = pages.extract(table(spark, sf_dir, "pages"))
+    return main.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_surrogates, op3_bpe, op4_chat, op5_simhash, op6_media, op7_line_dedup, op8_embedding_dedup, op9_warc, op10_toxicity,
+        op11_whitening, op12_phrases, op13_page_text,
     )
 }
 
@@ -200,5 +218,33 @@ select page_id, octet_length(encode(html))::bigint as payload_bytes,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
        case when page_id = first_id then null else first_id end as refers_to
 from f
+""",
+    "op12_phrases": r"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+split as (select d, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') as ps from docs),
+pieces as (select lang, d, unnest(ps) as piece, generate_subscripts(ps, 1) as p from split),
+cut as (select lang, d, p, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+spelt as (select lang, d, p, unnest(ws) as w1, generate_subscripts(ws, 1) as i from cut),
+runs as (select lang, w1, lead(w1, 1) over s as w2, lead(w1, 2) over s as w3 from spelt window s as (partition by lang, d, p order by i)),
+one as (select lang, w1, count(*) as f from runs group by all),
+two as (select lang, w1, w2, count(*) as f from runs where w2 is not null group by all having count(*) >= 10),
+three as (select lang, w1, w2, w3, count(*) as f from runs where w3 is not null group by all having count(*) >= 10),
+longer as (select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from three union all select lang, w2, w3, f from three) group by all),
+cuts as (
+  select t.lang, t.w1 || ' ' || t.w2 as phrase, t.f as a, 1 as k, x.f as l, y.f as r
+  from two t join one x on x.lang = t.lang and x.w1 = t.w1 join one y on y.lang = t.lang and y.w1 = t.w2 left join longer g on g.lang = t.lang and g.w1 = t.w1 and g.w2 = t.w2
+  where g.f is null or 100 * g.f < 50 * t.f
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  from three t join one x on x.lang = t.lang and x.w1 = t.w1 join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  from three t join two x on x.lang = t.lang and x.w1 = t.w1 and x.w2 = t.w2 join one y on y.lang = t.lang and y.w1 = t.w3),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest),
+totals as (select lang, sum(f)::bigint as n from one group by lang)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
 """,
 }
