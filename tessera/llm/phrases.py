@@ -111,10 +111,10 @@ def _binary(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _bitmaps(parts: list[tuple[pa.Array, np.ndarray, list[str]]], shard: int) -> pa.RecordBatch:
+def _bitmaps(parts: list[tuple[pa.Array, np.ndarray, pa.Array]], shard: int) -> pa.RecordBatch:
     """The shard's rows: one per language and word, with its occurrences and its bitmap's gaps and bytes."""
     words = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
-    langs = pa.concat_arrays([pa.array(p[2]) for p in parts]).dictionary_encode()
+    langs = pa.concat_arrays([p[2] for p in parts]).dictionary_encode()
     change = np.concatenate([np.append(True, np.diff(p[1]) != 0) for p in parts])
     pos = np.arange(len(change)) + np.cumsum(change)
     several = len(words.dictionary)
