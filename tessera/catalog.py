@@ -889,4 +889,4 @@ def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.inspect(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")).select("column", "type", "n", "missing", "minimum")
 
 
-from . import catalog_acquisition, catalog_indices  # noqa: E402, F401  these register further queries
+from . import catalog_acquisition, catalog_datasets, catalog_indices  # noqa: E402, F401  these register further queries

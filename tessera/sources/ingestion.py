@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import channels as ch
 from ..functions import images, tokens
 from . import fcs, tables
+from .dataset import Dataset
 
 # The keywords that are kept.
 INSTRUMENT = (
@@ -127,11 +128,13 @@ def ingest_fcs(
     append: bool = False,
     species: str | None = None,
 ) -> DataFrame:
-    """Read a folder's FCS files into the dataset at out/events and return the files table (status, error), also at out/files.
+    """Read a folder's FCS files into a dataset (its rows under out/events) and return its files table (status, error).
 
     Declarations and names are checked before anything is read. Files that can't be read, or whose
     channels aren't those of the first good one in order of names, are left out; ValueError if none
-    is good. With append, files that the dataset has are skipped and the others must fit its channels.
+    is good. With append, files that the dataset has are skipped, those that failed before are tried
+    again, and all must fit its channels; without, the dataset is replaced. See Dataset for what
+    happens when a run dies.
     """
     ch.check_products(products or {}, is_metadata)
     ch.check_columns(columns or {}, is_metadata, products, RESERVED)
@@ -141,9 +144,10 @@ def ingest_fcs(
     check_names(listed, columns or {})
     heads = fcs_headers(spark, folder).persist()
     try:
-        known = spark.read.parquet(f"{out}/files") if append else None
-        fresh = heads.join(known.select("source_filename"), "source_filename", "left_anti") if known is not None else heads
-        base = known.where("status = 'ok'") if known is not None else heads.where("error is null")
+        data = Dataset(spark, out, "events")
+        append = append and bool(data.runs())
+        fresh = data.missing(heads) if append else heads
+        base = data.files().where("status = 'ok'") if append else heads.where("error is null")
         first = base.orderBy("source_filename").select("channels").first()
         if first is None:
             raise ValueError(f"no FCS file of {folder} can be read")
@@ -156,29 +160,30 @@ def ingest_fcs(
             .withColumn("status", F.when(error.isNull(), "ok").otherwise("failed"))
             .withColumns({f"fcs_{k}": F.col("keywords")[k] for k in OF_ROWS})
         )
-        files.write.mode("append" if append else "overwrite").parquet(f"{out}/files")
         good = files.where("status = 'ok'").select("source_filename", *[f"fcs_{k}" for k in OF_ROWS])
         events = fcs.read(spark, folder, names).where("event_no is not null").drop("error").join(good, "source_filename")
         events = events.withColumns({c: F.col(c).cast("float") for c in names})
-        annotate(events, products, columns, species).write.mode("append" if append else "overwrite").parquet(f"{out}/events")
+        data.write(annotate(events, products, columns, species), files, {"features": names}, replace=not append, expected="events")
     finally:
         heads.unpersist()
-    return spark.read.parquet(f"{out}/files")
+    return data.files()
 
 
 def ingest_measurements(spark: SparkSession, folder: str, out: str, specie: str | None = None, from_names: bool = True, append: bool = False) -> DataFrame:
-    """Read a folder's measurement files into the dataset at out/rows and return the files table, also at out/files.
+    """Read a folder's measurement files into a dataset (its rows under out/rows) and return its files table.
 
     With from_names, species, subject, condition and diet come from the name (a name's condition
     counts before the file's); without, `specie` is given, the subject is the file's place in order
     of names, and the condition the file's. Files with bad values are left out; RuntimeError if
-    none is good.
+    none is good. With append, files that the dataset has are skipped and those that failed before
+    are tried again; without, the dataset is replaced.
     """
     if not from_names and not specie:
         raise ValueError("a species is needed where names aren't read")
+    data = Dataset(spark, out)
+    append = append and bool(data.runs())
     rows = tables.read_measurements(spark, folder)
-    if append:
-        rows = rows.join(spark.read.parquet(f"{out}/files").select("source_filename"), "source_filename", "left_anti")
+    rows = data.missing(rows) if append else rows
     of_file = rows.groupBy("source_filename").agg(F.count("*").alias("n_rows"), F.min("Image_Name").alias("image"), F.min("Condition_Name").alias("from_file"), F.count_distinct("Image_Name").alias("images"), F.count_distinct("Condition_Name").alias("conditions"))
     mixed = F.when((F.col("images") > 1) | (F.col("conditions") > 1), F.lit("several images or conditions in one file"))
     files = of_file.join(tables.file_problems(rows), "source_filename", "left").withColumn("error", F.coalesce("error", mixed))
@@ -191,19 +196,18 @@ def ingest_measurements(spark: SparkSession, folder: str, out: str, specie: str
             images.resolve_condition(F.col("m.condition"), F.col("from_file")).alias("r"),
         )
     else:
-        place = F.row_number().over(Window.orderBy("source_filename"))  # a row per file
-        files = files.drop("images", "conditions").withColumns(
-            {"diet": F.lit(None).cast("string"), "subject_ID": F.format_string("%03d", place), "specie": F.lit(specie), "r": images.resolve_condition(F.lit(None).cast("string"), F.col("from_file"))}
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*_MITO_measurements.txt").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source_filename"))
+        places = listed.withColumn("_place", F.row_number().over(Window.orderBy("source_filename")))  # a row per file, those of earlier runs too
+        files = files.drop("images", "conditions").join(places, "source_filename").withColumn("subject_ID", F.format_string("%03d", "_place")).drop("_place").withColumns(
+            {"diet": F.lit(None).cast("string"), "specie": F.lit(specie), "r": images.resolve_condition(F.lit(None).cast("string"), F.col("from_file"))}
         )
     unique = F.concat_ws("_", F.coalesce("specie", F.lit("Unknown")), F.coalesce(F.nullif(F.col("subject_ID"), F.lit("")), F.lit("Unknown")))
     files = files.select("*", F.col("r.condition").alias("condition"), F.col("r.differs").alias("condition_differs"), unique.alias("unique_subject_ID"), F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).drop("r", "from_file")
-    files.write.mode("append" if append else "overwrite").parquet(f"{out}/files")
-    written = spark.read.parquet(f"{out}/files")
-    good = written.where("status = 'ok'").select("source_filename", "specie", "subject_ID", "unique_subject_ID", "condition", "diet")
-    if good.isEmpty():
+    good = files.where("status = 'ok'").select("source_filename", "specie", "subject_ID", "unique_subject_ID", "condition", "diet")
+    if not append and good.isEmpty():
         raise RuntimeError(f"no measurement file of {folder} can be used")
-    rows.join(good, "source_filename").write.mode("append" if append else "overwrite").parquet(f"{out}/rows")
-    return written
+    data.write(rows.join(good, "source_filename"), files, {"features": list(tables.FEATURES), "analysed": analysed_columns(rows.columns)}, replace=not append, expected="n_rows")
+    return data.files()
 
 
 def analysed_columns(columns: Sequence[str]) -> dict[str, bool]:
