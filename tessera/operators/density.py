@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 from .models import silhouette
 
 
-def _spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (weight, a, b) of the least spanning tree under mutual reachability, by weight; a row of distances at a time."""
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges (weight, a, b), a < b, of the least spanning tree under mutual reachability, by weight; a row of distances at a time.
+
+    Of edges of one weight that with the smaller ends comes first, so there is one such tree only.
+    """
     n = len(x)
+    rows = np.arange(n)
+    ends = lambda a, b: np.minimum(a, b) * n + np.maximum(a, b)
     best, source, open_ = np.full(n, np.inf), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
     edges, at = [], 0
     for _ in range(n - 1):
         open_[at] = False
         reach = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core[at]), core)
-        closer = open_ & (reach < best)
+        closer = open_ & ((reach < best) | (reach == best) & (ends(rows, at) < ends(rows, source)))
         best[closer], source[closer] = reach[closer], at
-        at = int(np.where(open_, best, np.inf).argmin())
-        edges.append((float(best[at]), int(source[at]), at))
+        least = np.flatnonzero(open_ & (best == best[open_].min()))
+        at = int(least[ends(least, source[least]).argmin()])
+        a, b = sorted((int(source[at]), at))
+        edges.append((float(best[at]), a, b))
     return sorted(edges)
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> np.ndarray:
-    """Labels 0.. of clusters by excess of mass, -1 for noise; memory is linear, time quadratic in the rows: for a bounded table.
+    """Labels 0.. of clusters by excess of mass, -1 for noise; memory is linear, time quadratic in the rows: for a bounded table (others: density_trees).
 
     min_samples (the row itself included) is min_cluster_size unless given. The root is no cluster.
     """
@@ -37,6 +44,11 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
         return np.full(n, -1)
     k = min(min_samples or min_cluster_size, n) - 1
     core = np.array([np.partition(np.sqrt(((x - row) ** 2).sum(axis=1)), k)[k] for row in x])
+    return labels_of_tree(spanning_tree(x, core), n, min_cluster_size)
+
+
+def labels_of_tree(edges: list[tuple[float, int, int]], n: int, min_cluster_size: int) -> np.ndarray:
+    """Labels of n rows from the edges (weight, a, b) of their least spanning tree, by weight."""
     parent, left, right, height, size = list(range(2 * n - 1)), {}, {}, {}, [1] * n + [0] * (n - 1)
 
     def find(i: int) -> int:
@@ -45,7 +57,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
             i = parent[i]
         return i
 
-    for new, (w, a, b) in enumerate(_spanning_tree(x, core), start=n):
+    for new, (w, a, b) in enumerate(edges, start=n):
         a, b = find(a), find(b)
         left[new], right[new], height[new], size[new] = a, b, w, size[a] + size[b]
         parent[a] = parent[b] = new
