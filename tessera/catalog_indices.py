@@ -139,7 +139,7 @@ def cluster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of two to four clusters and whether each number is the chosen one."""
     df = lines(spark, sf_dir)
     z = layers.fit_layer(df, MEASURES).apply(df, "_z")
-    got = models.scan_clusters(z, [f"{f}_z" for f in MEASURES], (2, 3, 4), KEY, sample=2000)
+    got = models.scan_clusters(z, [f"{f}_z" for f in MEASURES], (2, 3, 4), KEY)
     best = models.choose_clusters(got)
     rows = [(r["n_clusters"], r["silhouette"], r["inertia"], r["smallest_share"], r["n_clusters"] == best) for r in got]
     return spark.createDataFrame(rows, "n_clusters int, silhouette double, inertia double, smallest_share double, chosen boolean")

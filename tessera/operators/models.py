@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixtures import fit_mixtures
+from .ordered import quantile
 from .rows import sample_order
 
 BAG_STATISTICS: dict[str, Callable[[str], Column]] = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "skew": F.skewness}
@@ -64,10 +66,11 @@ class Clusters:
         return Clusters(tuple(data["features"]), tuple(map(tuple, data["centroids"])), data["atypical"])
 
 
-def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[str], starts: int = 5, rounds: int = 12, sample: int = 10_000, seed: int = 42) -> Clusters:
-    """k-means: starts chosen on a bounded sample (in digest order, k-means++), then Lloyd steps over all rows as aggregates."""
+def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[str], starts: int = 5, rounds: int = 12, sample: int = 10_000, seed: int = 42, weight: str | None = None) -> Clusters:
+    """k-means: starts chosen on a bounded sample (in digest order, k-means++), then Lloyd steps over all rows as aggregates, weighted by a column if given."""
     features = list(features)
-    rows = df.dropna(subset=features).select(*features, *[c for c in key if c not in features])
+    rows = df.dropna(subset=features).select(*features, *[c for c in key if c not in features], *([weight] if weight else []))
+    mean = (lambda f: F.sum(F.col(weight) * F.col(f)) / F.sum(weight)) if weight else F.avg
     x = rows.orderBy(sample_order(key, seed), *key).limit(sample).select(*features).toPandas().to_numpy(dtype=float)
     if len(x) < k:
         raise ValueError("fewer rows than clusters")
@@ -92,7 +95,7 @@ def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[s
     _, centre = min((lloyd(start(np.random.default_rng(seed + s))) for s in range(starts)), key=lambda z: z[0])
     for _ in range(rounds):
         model = Clusters(tuple(features), tuple(map(tuple, centre.tolist())), math.inf)
-        got = model.assign(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in features]).collect()
+        got = model.assign(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[mean(f).alias(f) for f in features]).collect()
         new = centre.copy()
         sizes = np.zeros(k)
         for r in got:
@@ -104,7 +107,7 @@ def fit_clusters(df: DataFrame, features: Sequence[str], k: int, key: Sequence[s
             break
     centre = centre[np.argsort(-sizes, kind="stable")]
     model = Clusters(tuple(features), tuple(map(tuple, centre.tolist())), math.inf)
-    limit = model.assign(rows, "c").agg(F.percentile("c_distance", 0.99).alias("q")).first()["q"]
+    limit = quantile(model.assign(rows, "c"), "c_distance", 0.99)
     return Clusters(model.features, model.centroids, limit)
 
 
@@ -127,32 +130,37 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     return float(out.mean())
 
 
-def scan_clusters(df: DataFrame, features: Sequence[str], candidates: Sequence[int], key: Sequence[str], sample: int = 10_000, algorithm: str = "kmeans", seed: int = 42) -> list[dict]:
-    """For each number of clusters: silhouette and, by algorithm, inertia (k-means over all rows) or BIC (Gaussian mixtures), and the smallest cluster's share.
+def scan_clusters(df: DataFrame, features: Sequence[str], candidates: Sequence[int], key: Sequence[str], sample: int = 10_000, algorithm: str = "kmeans", seed: int = 42, weight: str | None = None) -> list[dict]:
+    """For each number of clusters: silhouette and, by algorithm, inertia (k-means) or BIC (Gaussian mixtures), both over all rows, and the smallest cluster's share.
 
-    Silhouettes and mixtures are of at most `sample` rows, chosen by digest of the key.
+    Silhouettes are of at most `sample` rows, chosen by digest of the key.
     """
+    return scan_and_fit(df, features, candidates, key, sample, algorithm, seed, weight)[0]
+
+
+def scan_and_fit(df: DataFrame, features: Sequence[str], candidates: Sequence[int], key: Sequence[str], sample: int = 10_000, algorithm: str = "kmeans", seed: int = 42, weight: str | None = None) -> tuple[list[dict], dict]:
+    """What scan_clusters says, and the model of each number of clusters."""
     if algorithm not in ("kmeans", "gmm"):
         raise ValueError("algorithm must be kmeans or gmm")
     features = list(features)
     rows = df.dropna(subset=features)
     x = rows.orderBy(sample_order(key, seed), *key).limit(sample).select(*features).toPandas().to_numpy(dtype=float)
+    fitted = fit_mixtures(df, features, candidates, key, sample=sample, seed=seed) if algorithm == "gmm" else {k: fit_clusters(df, features, k, key, sample=sample, seed=seed, weight=weight) for k in candidates}
     out = []
-    for k in candidates:
+    for k, model in fitted.items():
         if algorithm == "kmeans":
-            model = fit_clusters(df, features, k, key, sample=sample, seed=seed)
-            got = model.assign(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow("c_distance", 2)).alias("s")).collect()
-            sizes, inertia, score = [r["n"] for r in got], float(sum(r["s"] for r in got)), math.nan
+            inner = F.sum(F.pow("c_distance", 2) * (F.col(weight) if weight else F.lit(1.0)))
+            got = model.assign(rows, "c").groupBy("c").agg(F.count(F.lit(1)).alias("n"), inner.alias("s")).collect()
+            inertia, score = float(sum(r["s"] for r in got)), math.nan
             labels = ((x[:, None] - np.array(model.centroids)[None]) ** 2).sum(axis=2).argmin(axis=1)
         else:
-            _, weight, mean, cov = gaussian_mixture(x, k, seed)
-            inertia, score = math.nan, bic(x, k, seed)
-            logs = [math.log(max(w, 1e-300)) - 0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) for w, m, c in zip(weight, mean, cov, strict=True)]
-            labels = np.argmax(logs, axis=0)
-            sizes = np.bincount(labels, minlength=k).tolist()
+            got = rows.groupBy(model.columns()[0].alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+            inertia, score = math.nan, model.bic
+            labels = model.log_densities(x).argmax(axis=1)
+        sizes = [r["n"] for r in got]
         share = min(sizes) / sum(sizes) if len(sizes) == k else 0.0
         out.append({"n_clusters": k, "silhouette": silhouette(x, labels), "bic": score, "inertia": inertia, "smallest_share": share})
-    return out
+    return out, fitted
 
 
 def choose_clusters(table: Sequence[dict], algorithm: str = "kmeans") -> int:

@@ -86,6 +86,22 @@ def row_at(df: DataFrame, order: Sequence[str], down: bool, k: int, task_rows: i
     return tuple(row[c] for c in order)
 
 
+def quantile(df: DataFrame, column: str, share: float, task_rows: int = TASK_ROWS, parts: int = PARTS) -> float | None:
+    """The exact quantile of the values that aren't missing, between two rows in proportion; None if there are none."""
+    v = F.col(column).cast("double")
+    known = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    n = known.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    k = min(int(at), n - 1)
+    low = row_at(known, ["v"], False, k + 1, task_rows, parts)[0]
+    if at == k:
+        return low
+    high = row_at(known, ["v"], False, k + 2, task_rows, parts)[0]
+    return low + (high - low) * (at - k)
+
+
 def _against(order: Sequence[str], at: Sequence, down: bool) -> tuple[Column, Column]:
     """Whether a row comes before the one with the values `at`, and whether it has them."""
     before, same = F.lit(False), F.lit(True)
