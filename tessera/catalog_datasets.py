@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import MEASURES, lines, query, table
+from .catalog import KEY, MEASURES, lines, query, table
+from .operators import cluster_models, density_trees, layers, mixtures, models, neighbour_information, spaces, tree_shap
 from .sources.dataset import Dataset, work_folder
 
 
@@ -28,3 +31,90 @@ def dataset_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
             data.write(rows.join(fresh.select("source_filename"), "source_filename", "left_semi"), fresh, {"features": ["l_quantity"]}, expected="n_rows")
     got = data.rows().groupBy("source_filename")
     return got.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("line_numbers"), F.sum(F.round(F.col("l_quantity") * 100).cast("long")).alias("quantity"))
+
+
+def _spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by what they order: number of orders, and mean and spread of the prices."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.stddev_pop("o_totalprice").alias("spread"))
+    return orders.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment"), "o_custkey")
+
+
+SPENDING = ("n_orders", "mean_price", "spread")
+
+
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in density clusters of their standardised spending."""
+    df = _spending(spark, sf_dir)
+    z = layers.fit_layer(df, SPENDING).apply(df)
+    return density_trees.hdbscan(z, ["o_custkey"], SPENDING, 10)
+
+
+@query()
+def mixture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BIC of mixtures of two to four components over all lines, and the shares of their components."""
+    df = lines(spark, sf_dir)
+    space = spaces.fit_space(df, MEASURES, "pca", components=2)
+    got = mixtures.fit_mixtures(space.project(df), space.names, (2, 3, 4), KEY, starts=2)
+    rows = [(k, m.bic, m.log_likelihood, [float(w) for w in m.weights]) for k, m in got.items()]
+    return spark.createDataFrame(rows, "n_clusters int, bic double, log_likelihood double, weights array<double>")
+
+
+@query(
+    """
+with m as (select avg(l_quantity) a, avg(l_extendedprice) b, stddev_pop(l_quantity) sa, stddev_pop(l_extendedprice) sb, corr(l_quantity, l_extendedprice) r from lineitem),
+z as (select l_suppkey, (l_quantity - a) / sa + sign(r) * (l_extendedprice - b) / sb as x, case when (1 + abs(r)) / 2 >= 0.95 then 0 else (l_quantity - a) / sa - sign(r) * (l_extendedprice - b) / sb end as y from lineitem, m),
+d as (select l_suppkey, x / sqrt(2) as x, y / sqrt(2) as y from z),
+e as (select *, sqrt(x * x + y * y) o, sqrt((x - avg(x) over w) ** 2 + (y - avg(y) over w) ** 2) d from d window w as (partition by l_suppkey))
+select l_suppkey, count(*) as n, sqrt(avg(x) ** 2 + avg(y) ** 2) as amhi_offset, median(o) as amhi_median, avg(o) as amhi_mean, stddev_pop(o) as amhi_std,
+       quantile_cont(o, 0.25) as amhi_q25, quantile_cont(o, 0.75) as amhi_q75, median(d) as mhi_d_absolute from e group by 1
+"""
+)
+def absolute_on_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute indices of suppliers on the frozen principal axes of all lines; the axes of two standardised features lie at 45 degrees."""
+    df = lines(spark, sf_dir)
+    return spaces.absolute(df, "l_suppkey", spaces.Space.from_json(spaces.fit_reference(df, MEASURES[:2]).to_json()))
+
+
+@query(
+    """
+with m as (select avg(l_quantity) a, avg(l_extendedprice) b, stddev_pop(l_quantity) sa, stddev_pop(l_extendedprice) sb from lineitem),
+z as (select (l_quantity - a) / sa as x, (l_extendedprice - b) / sb as y from lineitem, m),
+d as (select sqrt((x + 1) ** 2 + (y + 1) ** 2) as d1, sqrt((x - 1) ** 2 + (y - 1) ** 2) as d2 from z)
+select case when d1 <= d2 then 'Cluster_1' else 'Cluster_2' end as cluster, count(*) as n, count(*) filter (least(d1, d2) > 1.2) as atypical, avg(least(d1, d2)) as mean_score from d group by 1
+"""
+)
+def cluster_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model with given centroids, replayed on rows that hold its space's coordinates."""
+    df = lines(spark, sf_dir)
+    space = spaces.fit_space(df, MEASURES[:2], "scaled")
+    model = cluster_models.ClusterModel("given", "kmeans", space, models.Clusters(space.names, ((-1.0, -1.0), (1.0, 1.0)), 1.2), 1.2)
+    placed, _ = cluster_models.ClusterModel.from_json(model.to_json()).place(space.project(df), space.stated())
+    return placed.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("cluster_atypical").alias("atypical"), F.avg("cluster_score").alias("mean_score"))
+
+
+@query(
+    """
+with v as (select l_returnflag y, l_extendedprice v from lineitem),
+w as (select *, lag(v, 1) over o a1, lag(v, 2) over o a2, lag(v, 3) over o a3, lead(v, 1) over o b1, lead(v, 2) over o b2, lead(v, 3) over o b3 from v window o as (partition by y order by v)),
+r as (select y, v, least(coalesce(v - a3, 'inf'), coalesce(greatest(v - a2, b1 - v), 'inf'), coalesce(greatest(v - a1, b2 - v), 'inf'), coalesce(b3 - v, 'inf'))::double r from w where true),
+x as (select y, v, r + 4 * power(2.0::double, -52) * (r + abs(v)) as r from r),
+c as (select y, v, count(*) over (partition by y order by v range between r preceding and r following) - 1 as k, count(*) over (order by v range between r preceding and r following) - 1 as m, count(*) over (partition by y) as ny, count(*) over () as n from x),
+f as (select unnest([k, m, ny, n]) as n, unnest(['k', 'm', 'ny', 'n']) as what from c),
+g as (select what, n, case when n < 20 then list_sum(list_transform(range(1, n), lambda i: 1.0::double / i)) else null end as h, count(*) as c from f group by all),
+p as (select what, c, case when n = 1 then -0.5772156649015329 when n < 20 then h - 0.5772156649015329
+             else ln(n) - 0.5 / n - 1.0::double / 12 / n / n + 1.0::double / 120 / n / n / n / n - 1.0::double / 252 / n / n / n / n / n / n end::double as psi from g),
+s as (select what, sum(c * psi) / sum(c) as mean from p group by what)
+select 'l_extendedprice' as feature, greatest(0, sum(case when what in ('n', 'k') then mean else -mean end))::double as mi from s
+"""
+)
+def neighbour_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_information.neighbour_information(lines(spark, sf_dir), ["l_extendedprice"], "l_returnflag")
+
+
+@query()
+def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of a forest that tells customers with much on their account by their spending, for all customers."""
+    df = _spending(spark, sf_dir).withColumn("_y", (F.col("c_acctbal") > 4500).cast("double"))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=5, seed=42).fit(VectorAssembler(inputCols=list(SPENDING), outputCol="_x").transform(df))
+    return tree_shap.tree_shap(df, SPENDING, ["o_custkey"], model, 1)
