@@ -1,9 +1,9 @@
 """Repeated passages by content-defined chunks of lines (DataFrame operations only).
 
-A text is cut into lines at line feeds, and a written line of `long` characters or more, a
-paragraph, into its sentences. Each such line has a digest; a rolling value over the digests of
-`window` lines ends a chunk after a line where it is 0 modulo `every`, and a paragraph also begins
-and ends one, and no rolling value reaches beyond its ends. So boundaries depend on nearby text alone, and a passage that is moved, or has other
+A text is cut into lines at line feeds, and these into their sentences. Each such line has a digest;
+a rolling value over the digests of `window` lines ends a chunk after a line where it is 0 modulo
+`every`. A written line of `long` characters or more, a paragraph, also begins and ends one, and no
+rolling value reaches beyond its ends. So boundaries depend on nearby text alone, and a passage that is moved, or has other
 text around it, is cut at the same places. A chunk whose digest occurs elsewhere too is compared
 byte by byte with the first such chunk in order of (doc_id, digest of the text, place); if equal,
 it is removed. Chunks of one line below `long` go only with a removed chunk beside them.
@@ -44,13 +44,11 @@ def short_lines(text: Column, long: int) -> Column:
     def pieces(lines: Column) -> Column:
         def of_line(line: Column, i: Column) -> Column:
             whole = F.when(i + 1 < F.size(lines), F.concat(line, F.lit("\n"))).otherwise(line)
-            cut = F.coalesce(F.length(F.get(lines, i + 1)) >= long, F.lit(False))  # get() gives null beyond the last line
-            sentences = let(
+            # get() gives null beyond the last line
+            apart = (F.length(line) >= long) | F.coalesce(F.length(F.get(lines, i + 1)) >= long, F.lit(False))
+            return let(
                 F.filter(F.split(whole, "(?<=[.!?] )", -1), lambda p: p != ""),
-                lambda ps: F.transform(ps, lambda p, j: F.struct(p.alias("t"), (j + 1 == F.size(ps)).alias("ends"))),
-            )
-            return F.when(F.length(line) >= long, sentences).when(whole != "", F.array(F.struct(whole.alias("t"), cut.alias("ends")))).otherwise(
-                F.array().cast("array<struct<t:string,ends:boolean>>")
+                lambda ps: F.transform(ps, lambda p, j: F.struct(p.alias("t"), (apart & (j + 1 == F.size(ps))).alias("ends"))),
             )
 
         return F.flatten(F.transform(lines, of_line))
@@ -96,7 +94,7 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
 
 
 def drop_repeated_chunks(
-    docs: DataFrame, text: str = "text", window: int = 2, every: int = 6, long: int = 200, short: int = 40, salts: int = 64
+    docs: DataFrame, text: str = "text", window: int = 2, every: int = 3, long: int = 200, short: int = 10, salts: int = 64
 ) -> DataFrame:
     """docs, with repeated chunks cut out of `text`, and n_chunks, n_removed, removed_lines (int).
 

@@ -179,16 +179,16 @@ beside as (
   from written window w as (partition by doc_id, k order by li)),
 whole as (select *, case when final then line else line || chr(10) end as full_line from beside),
 pieces as (
-  select doc_id, k, li, apart, list_filter(case when length(line) >= 200 then string_split(regexp_replace(full_line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) else [full_line] end, lambda p: p <> '') as ps from whole),
+  select doc_id, k, li, apart, list_filter(string_split(regexp_replace(full_line, '([.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') as ps from whole),
 placed as (select doc_id, k, li, apart, unnest(ps) as t, generate_subscripts(ps, 1) as j, len(ps) as m from pieces),
 lines as (select *, row_number() over (partition by doc_id, k order by li, j) as i, apart and j = m as stop, rtrim(t, ' ' || chr(10)) as bare from placed),
 hashed as (select *, ('0x' || substr(md5(bare), 1, 15))::bigint as h from lines),
 rolled as (
   select *, (case when lag(stop) over w then 0 else coalesce(lag(h) over w % 1000003, 0) end * 31 + h % 1000003) % 1000003 as r, count(*) over (partition by doc_id, k) as total
   from hashed window w as (partition by doc_id, k order by i)),
-cut as (select *, coalesce(sum(((r % 6 = 0 or stop) and i < total)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0) as c from rolled),
+cut as (select *, coalesce(sum(((r % 3 = 0 or stop) and i < total)::int) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding), 0) as c from rolled),
 chunks as (select doc_id, k, c, count(*) as n, string_agg(bare, chr(10) order by i) as txt, string_agg(t, '' order by i) as whole from cut group by doc_id, k, c),
-ranked as (select doc_id, k, c, row_number() over (partition by txt order by doc_id is null, doc_id, k, c) > 1 as again from chunks where n > 1 or length(txt) >= 40),
+ranked as (select doc_id, k, c, row_number() over (partition by txt order by doc_id is null, doc_id, k, c) > 1 as again from chunks where n > 1 or length(txt) >= 10),
 known as (select c.*, coalesce(r.again, false) as again from chunks c left join ranked r on c.doc_id is not distinct from r.doc_id and c.k = r.k and c.c = r.c),
 decided as (
   select *, again and (n > 1 or length(txt) >= 200 or coalesce(lag(again) over w, false) or coalesce(lead(again) over w, false)) as gone

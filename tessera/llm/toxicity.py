@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Container, Iterable, Iterator, Sequence
 from itertools import pairwise
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -245,11 +246,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+#: Weights of the swaps' penalty that train() chooses from.
+PENALTIES = (0.1, 0.3, 1.0, 3.0)
+
+
+def choose_penalty(bags: Sequence[str], labels: Sequence[int], inner: Sequence[bool], groups: tuple[tuple[str, ...], ...], sentences: list[list[str]]) -> float:
+    """The largest of PENALTIES whose log loss on the inner texts, learnt from the others, is within a standard error of the least; 1 without both labels on either side."""
+    y, out = np.asarray(labels), np.asarray(inner, dtype=bool)
+    if not len(y) or any(y[side].min(initial=1) == y[side].max(initial=0) or not side.any() for side in (out, ~out)):
+        return 1.0
+    losses = []
+    for q in PENALTIES:
+        model = fit((bags[i].split() for i in np.flatnonzero(~out)), y[~out].tolist(), q, groups, sentences=sentences)
+        p = np.clip(model.scores([bags[i] for i in np.flatnonzero(out)]), 1e-6, 1 - 1e-6)
+        losses.append(-np.log(np.where(y[out] == 1, p, 1 - p)))
+    best = min(losses, key=np.mean)
+    limit = best.mean() + best.std() / np.sqrt(len(best))
+    return max(q for q, loss in zip(PENALTIES, losses, strict=True) if loss.mean() <= limit)
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, mentions: int = 8_000, penalty: float = 0.1, seed: int = 17
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, mentions: int = 8_000, penalty: float | None = None, seed: int = 17
 ) -> Model:
     """Fit on at most `sample` labelled texts that aren't held out.
 
+    Without a penalty, one is chosen on an inner split: of the rows that may be learnt from, those
+    whose remainder is 1 are set apart for the choice, and the model is then fitted on all.
+
     Of several labels of a doc_id the largest holds; null labels and null doc_ids are left out, and
     a doc_id that several documents have brings each of its different texts in. Empty labels or
     documents give a model that scores every text alike. `sample` and `mentions` are the documented
@@ -281,7 +304,11 @@ def train(
     weighed = fit(bag(), y, steps=0).weights
     terms, others = neutral_words(bag(), y, weighed)
     groups = IDENTITY_GROUPS + alike(_contexts(chosen, terms + others), terms)
-    model = fit(bag(), y, penalty, groups, sentences=_mentions(chosen, groups, mentions))
+    swapped = _mentions(chosen, groups, mentions)
+    if penalty is None:
+        inner = [crc32(str(i.as_py()).encode()) % 5 == 1 for i in got["doc_id"]]
+        penalty = choose_penalty(got["w"].to_pylist(), y, inner, groups, swapped)
+    model = fit(bag(), y, penalty, groups, sentences=swapped)
     remove(labelled)
     remove(chosen)
     del got

@@ -84,6 +84,19 @@ def test_toxicity_on_held_out_labels_and_swaps(spark):
     assert auc(p, y) >= 0.95 and (p[y == 0] >= 0.5).mean() <= 0.01 and (p[y == 1] >= 0.5).mean() >= 0.75
 
 
+def test_toxicity_penalty_does_not_see_held_out_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"word{chr(97 + k)}" for k in range(20)], k=8)) + (" scum" if i % 3 == 0 else "") + ".", int(i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = toxicity.train(docs, labels), toxicity.train(docs, turned)
+    assert one.weights == two.weights and one.bias == two.bias
+    bags, y = [t for _, t, _ in rows], [t for _, _, t in rows]
+    assert toxicity.choose_penalty(bags, y, [i % 4 == 0 for i in range(400)], (), []) in toxicity.PENALTIES
+    assert toxicity.choose_penalty(bags, y, [False] * 400, (), []) == toxicity.choose_penalty([], [], [], (), []) == 1.0
+
+
 def test_toxicity_lets_neutral_mentions_be(spark):
     """An identity term in four of five bad texts: neutral sentences with it, and with others of its group, score alike and low."""
     rng = random.Random(7)
@@ -126,6 +139,22 @@ def test_one_paragraph_passages_are_cut(spark):
     assert sum(len(got[40 + i]) <= len(texts[40 + i]) - 0.9 * len(p) for i, p in enumerate(passages)) >= 38
 
 
+def test_passages_of_short_lines(spark):
+    """What chunks of three lines on average find of a passage moved once; the rest of it lies in chunks with other text."""
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(12, 18)))
+    removed, intact = {}, {}
+    for n in (3, 5, 10, 20):
+        passages = [[line() for _ in range(n)] for _ in range(60)]
+        texts = ["\n".join([line() for _ in range(4)] + p + [line() for _ in range(4)]) for p in passages for _ in range(2)]
+        got = {r["doc_id"]: r for r in linededup.drop_repeated_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert all(got[2 * k]["text"] == texts[2 * k] for k in range(60))
+        removed[n] = sum(sum(x not in got[2 * k + 1]["text"] for x in p) for k, p in enumerate(passages)) / (60 * n)
+        intact[n] = sum(got[2 * k + 1]["n_removed"] == 0 for k in range(60)) / 60
+    print("removed", removed, "untouched", intact)
+    assert removed[10] >= 0.4 and removed[20] >= 0.65 and intact[10] <= 0.25
+
+
 def test_a_text_of_a_million_lines(spark):
     rng = random.Random(1)
     lines = [f"{rng.getrandbits(40):x} {k % 7}" for k in range(1_000_000)]
