@@ -517,6 +517,22 @@ def bagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("bag", F.col("bag").cast("long"))
 
 
+@query(
+    """
+with r as (select l_suppkey, b.b as bag, l_quantity q, l_extendedprice e, row_number() over (partition by l_suppkey, b.b order by md5('42|' || b.b || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) rk
+  from lineitem, (select unnest(range(0, 3)) as b) b),
+m as (select *, q - avg(q) over w as dq, e - avg(e) over w as de from r where rk <= 20 window w as (partition by l_suppkey, bag))
+select l_suppkey, bag, count(*) as n_rows,
+  avg(q) as l_quantity__mean, stddev_samp(q) as l_quantity__std, median(q) as l_quantity__median, avg(dq * dq * dq) / pow(avg(dq * dq), 1.5) as l_quantity__skew,
+  avg(e) as l_extendedprice__mean, stddev_samp(e) as l_extendedprice__std, median(e) as l_extendedprice__median, avg(de * de * de) / pow(avg(de * de), 1.5) as l_extendedprice__skew
+from m group by all
+"""
+)
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = models.bags(lines(spark, sf_dir), "l_suppkey", MEASURES[:2], 3, 20, KEY[:3], ("mean", "std", "median", "skew"), ties=("l_quantity", "l_extendedprice"))
+    return made.withColumn("bag", F.col("bag").cast("long"))
+
+
 @query(
     """
 select l_suppkey, count(*) as n_rows, count(*) < 600 as needs_replacement, count(*) * (1 - pow(1 - 1 / count(*)::double, 600)) as expected_distinct, floor(count(*) / 600.0)::bigint as disjoint_bags from lineitem group by 1
@@ -629,12 +645,18 @@ def best_prefix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.best_pairs(names, F.col("file").rlike("_S[0-9]+$"))
 
 
+@query("select o_orderkey, o_custkey, c_name, c_acctbal from orders left join customer on o_custkey = c_custkey")
+def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal")
+    return tables.enrich(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), side, "o_custkey")
+
+
 @query(
     """
 select c_custkey, c_name, n_orders, spent from customer left join (select o_custkey, count(*) as n_orders, sum(o_totalprice) as spent from orders group by 1) on o_custkey = c_custkey
 """
 )
-def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lookup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spent"))
     return tables.enrich(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), side, "c_custkey")
 
