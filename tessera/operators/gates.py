@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_polygon
@@ -60,23 +60,76 @@ def populations(gates: Sequence[Mapping], scales: Mapping[str, str] | None = Non
     return out
 
 
-def replay(events: DataFrame, gates: Sequence[Mapping], file: str = "source_filename", scales: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+#: Gates as a table; scales says how an axis is drawn (log, biex, or another: linear).
+GATE_ROW = "sample_file string, population_path string, name string, parent_path string, gate_type string, channels array<string>, vertices array<array<double>>, bounds array<array<double>>, count long, scales map<string,string>"
+
+
+def gate_rows(spark: SparkSession, gates: Sequence[Mapping] | DataFrame, scales: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """Gates as a table, from one or from a list; given scales of a sample count before its own. Other types than rectangles and polygons raise NotImplementedError."""
+    if isinstance(gates, DataFrame):
+        table = gates if "scales" in gates.columns else gates.withColumn("scales", F.create_map().cast("map<string,string>"))
+    else:
+        names = [c.split()[0] for c in GATE_ROW.split(", ")]
+        filled = ({"scales": {}, "name": g["population_path"].rpartition("/")[2], "vertices": [], "bounds": []} | dict(g) for g in gates)
+        table = spark.createDataFrame([tuple(g[c] for c in names) for g in filled], GATE_ROW)
+    if scales:
+        given = spark.createDataFrame([(f, dict(m)) for f, m in scales.items()], "sample_file string, _given map<string,string>")
+        table = table.join(given, "sample_file", "left").withColumn("scales", F.coalesce("_given", "scales")).drop("_given")
+    other = table.where(~F.col("gate_type").isin("rectangle", "polygon")).select("gate_type").first()
+    if other:
+        raise NotImplementedError(f"gates of type {other[0]}")
+    return table
+
+
+def _prepared(table: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Rows (sample_file, gates): a sample's gates, parents first, with places of channels and corners where the axes show them."""
+    scale = lambda c: F.coalesce(F.try_element_at("scales", c), F.lit("linear"))
+    drawn = lambda v, s: F.when(s == "log", F.log10(F.greatest(v, F.lit(1.0)))).when(s == "biex", F.asinh(v / COFACTOR)).otherwise(v)
+    sides = F.transform("channels", lambda c: F.struct((F.array_position(F.array(*map(F.lit, channels)), c) - 1).cast("int").alias("at"), scale(c).alias("scale")))
+    corners = F.transform("vertices", lambda p: F.transform(p, lambda v, i: drawn(v, scale(F.get("channels", i)))))
+    made = table.withColumns({"sides": sides, "corners": corners})
+    edges = F.transform("corners", lambda p, i: F.struct(F.get(p, F.lit(0)).alias("x1"), F.get(p, F.lit(1)).alias("y1"), F.get(F.get("corners", (i + 1) % F.size("corners")), F.lit(0)).alias("x2"), F.get(F.get("corners", (i + 1) % F.size("corners")), F.lit(1)).alias("y2")))
+    own = F.struct(F.size(F.split("population_path", "/")).alias("depth"), F.col("population_path").alias("path"), F.col("parent_path").alias("parent"), (F.col("gate_type") == "polygon").alias("polygon"), "sides", "bounds", edges.alias("edges"))
+    return made.groupBy("sample_file").agg(F.array_sort(F.collect_list(own)).alias("gates"))  # a sample has few gates
+
+
+def memberships(events: DataFrame, gates: DataFrame, file: str = "source_filename", name: str = "populations") -> DataFrame:
+    """Events of the samples that gates (gate_rows()) are of, with an array of the paths of the populations they lie in, `root` first.
+
+    Gates come to the events by a join on the sample, so the plan is of one size for any number of
+    samples; a population is looked at for events within its parent only.
+    """
+    channels = sorted(r[0] for r in gates.select(F.explode("channels").alias("c")).distinct().collect())  # an instrument's channels
+    missing = [c for c in channels if c not in events.columns]
+    if missing:
+        raise ValueError(f"channels are missing: {missing}")
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in channels]) if channels else F.array().cast("array<double>")
+    joined = events.withColumn("_v", values).join(_prepared(gates, channels).withColumnRenamed("sample_file", file), file)
+
+    def inside(g: Column) -> Column:
+        drawn = lambda side: F.when(side["scale"] == "log", F.log10(F.greatest(F.get("_v", side["at"]), F.lit(1.0)))).when(side["scale"] == "biex", F.asinh(F.get("_v", side["at"]) / COFACTOR)).otherwise(F.get("_v", side["at"]))
+        floor = lambda side: F.when(side["scale"] == "log", F.greatest(F.get("_v", side["at"]), F.lit(1.0))).otherwise(F.get("_v", side["at"]))
+        within = F.zip_with(g["sides"], g["bounds"], lambda side, b: (floor(side) >= F.get(b, F.lit(0))) & (floor(side) < F.get(b, F.lit(1))))
+        box = F.forall(within, lambda ok: F.coalesce(ok, F.lit(False)))
+        x, y = drawn(F.get(g["sides"], F.lit(0))), drawn(F.get(g["sides"], F.lit(1)))
+        crossed = F.filter(
+            g["edges"], lambda e: (e["y1"] != e["y2"]) & ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * ((e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+        )
+        return F.when(g["polygon"], F.size(crossed) % 2 == 1).otherwise(box)
+
+    step = lambda acc, g: F.when(F.array_contains(acc, F.when(g["parent"] == "", "root").otherwise(g["parent"])) & inside(g), F.array_append(acc, g["path"])).otherwise(acc)
+    return joined.withColumn(name, F.aggregate("gates", F.array(F.lit("root")), step)).drop("_v", "gates")
+
+
+def replay(events: DataFrame, gates: Sequence[Mapping] | DataFrame, file: str = "source_filename", scales: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Rows (sample_file, population_path, n, parent_n, stored, difference_pct_of_parent), one for each gate; one aggregation of the events.
 
-    gates are those of read_workspace(), a few for each sample; difference is 100 (n - stored) / parent_n.
+    gates are those of read_workspace(), as a table or a list; difference is 100 (n - stored) / parent_n.
     """
-    samples: dict[str, list[Mapping]] = {}
-    for g in gates:
-        samples.setdefault(g["sample_file"], []).append(g)
-    spark = events.sparkSession
-    listed = spark.createDataFrame([(g["sample_file"], g["population_path"], g["parent_path"], g["count"]) for g in gates], "sample_file string, population_path string, parent_path string, stored long")
-    hits = F.lit(None).cast("array<string>")
-    for sample, own in samples.items():
-        inside = populations(own, (scales or {}).get(sample))
-        found = F.array_compact(F.array(*[F.when(p, F.lit(path)) for path, p in inside.items()]))
-        hits = F.when(F.col(file) == sample, found).otherwise(hits)
-    seen = events.where(F.col(file).isin(*samples)).select(F.col(file).alias("sample_file"), F.array_append(hits, F.lit("root")).alias("paths"))
-    counts = seen.select("sample_file", F.explode("paths").alias("population_path")).groupBy("sample_file", "population_path").agg(F.count("*").alias("n"))
+    table = gate_rows(events.sparkSession, gates, scales)
+    listed = table.select("sample_file", "population_path", F.when(F.col("parent_path") == "", "root").otherwise(F.col("parent_path")).alias("parent_path"), F.col("count").alias("stored"))
+    seen = memberships(events, table, file, "_paths")
+    counts = seen.select(F.col(file).alias("sample_file"), F.explode("_paths").alias("population_path")).groupBy("sample_file", "population_path").agg(F.count("*").alias("n"))
     parents = counts.select("sample_file", F.col("population_path").alias("parent_path"), F.col("n").alias("parent_n"))
     n = F.coalesce("n", F.lit(0))
     return (

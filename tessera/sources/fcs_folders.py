@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import flow, gates
 from . import fcs
 from .ingestion import fcs_headers
+from .tables import read_workspace
 
 MODES = ("kept_events", "all_events_flagged", "both")
 # Endings and label channel of the quality run's files.
@@ -129,3 +130,36 @@ def check_folder(spark: SparkSession, folder: str, out: str, time: str = "Time",
 def _checked(events: DataFrame, time: str, names: Sequence[str], ranges: Mapping[str, float | None], how: Mapping) -> DataFrame:
     checked = flow.flow_quality(events, "source_filename", time, "event_no", names, ranges, **how)
     return checked.select("source_filename", "event_no", F.col(time).alias("_time"), "rate_ok", "signal_ok", "range_ok", "quality_ok")
+
+
+def apply_workspace(spark: SparkSession, workspace: str, folder: str, out: str | None = None, populations: Sequence[str] | None = None, overwrite: bool = False) -> DataFrame:
+    """Replay a workspace's gates on a folder's files; rows (sample_file, status, population_path, gate_type, stored, n, parent_n, difference, difference_pct_of_parent, approximate).
+
+    populations: names or paths, all by default; each is taken within its parents. With `out` every
+    one is written as `<sample>_<name>.fcs`. Polygons on biexponential axes are approximate. Samples
+    without a file have that as status, and nulls.
+    """
+    gates_ = read_workspace(spark, workspace)
+    if gates_.isEmpty():
+        raise ValueError(f"no gate in {workspace}")
+    wanted = gates_.where(F.col("name").isin(*populations) | F.col("population_path").isin(*populations)) if populations is not None else gates_
+    there = fcs_headers(spark, folder).where("error is null").select(F.col("source_filename").alias("sample_file"))
+    own = gates_.join(there, "sample_file", "left_semi")
+    needs = own.groupBy("sample_file").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("needs"))
+    counts, seen = None, None
+    for panel in needs.select("needs").distinct().collect():  # a row per set of channels
+        samples = needs.where(F.col("needs") == F.array(*map(F.lit, panel["needs"]))).select("sample_file")
+        events = fcs.read(spark, folder, panel["needs"]).where("event_no is not null").join(samples.withColumnRenamed("sample_file", "source_filename"), "source_filename", "left_semi")
+        some = own.join(samples, "sample_file", "left_semi")
+        got, lie = gates.replay(events, some), gates.memberships(events, gates.gate_rows(spark, some)).select("source_filename", "event_no", "populations")
+        counts, seen = (got, lie) if counts is None else (counts.unionByName(got), seen.unionByName(lie))
+    if counts is None:
+        raise FileNotFoundError(f"no file of {folder} is a sample of {workspace}")
+    biex = F.exists("channels", lambda c: F.coalesce(F.try_element_at("scales", c) == "biex", F.lit(False)))
+    listed = wanted.select("sample_file", "population_path", "gate_type", ((F.col("gate_type") == "polygon") & biex).alias("approximate"))
+    result = listed.join(counts, ["sample_file", "population_path"], "left").withColumn("status", F.when(F.col("n").isNull(), "no file").otherwise("ok")).withColumn("difference", F.col("n") - F.col("stored"))
+    if out is not None:
+        for row in wanted.select("name", "population_path").distinct().orderBy("population_path").collect():  # a row per population
+            decided = seen.select("source_filename", "event_no", F.array_contains("populations", row["population_path"]).alias("kept"))
+            write_labelled(spark, folder, out, decided, row["name"], row["name"], f"{row['name']}Flagged", overwrite=overwrite)
+    return result

@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 import xml.etree.ElementTree as ET
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import csv_subject
+from ..operators.gates import GATE_ROW
 
 # The columns of a measurement file.
 META = ("Experiment_Name", "Condition_Name", "Image_Name", "Mito_ID")
@@ -73,13 +75,13 @@ def enrich(events: DataFrame, clinical: DataFrame, key: str = "subject_ID") -> D
 
 
 def parse_workspace(text: str) -> list[dict]:
-    """One entry per gated population of a workspace: file, path, parent, type, channels, vertices or bounds, count."""
+    """One entry per gated population of a workspace: file, path, parent, type, channels, vertices or bounds, count, and how the sample's axes are drawn."""
     local = lambda e: e.tag.rpartition("}")[2]
     attr = lambda e, n: next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == n), None)
     plain = lambda c: re.sub(r"^Comp-", "", c or "")
     out: list[dict] = []
 
-    def walk(node, file: str, parent: str) -> None:
+    def walk(node, file: str, parent: str, scales: dict[str, str]) -> None:
         for pop in (p for s in node if local(s) == "Subpopulations" for p in s if local(p) == "Population"):
             path = f"{parent}/{pop.get('name')}" if parent != "root" else pop.get("name")
             for gate in (g for w in pop if local(w) == "Gate" for g in w):
@@ -88,31 +90,39 @@ def parse_workspace(text: str) -> list[dict]:
                 bound = lambda d, n, other: float(attr(d, n)) if attr(d, n) is not None else other
                 entry = {
                     "sample_file": file, "population_path": path, "name": pop.get("name"), "parent_path": parent, "gate_type": local(gate).removesuffix("Gate").lower(),
-                    "channels": channels, "vertices": [], "bounds": [], "count": int(pop.get("count", -1)),
+                    "channels": channels, "vertices": [], "bounds": [], "count": int(pop.get("count", -1)), "scales": scales,
                 }
                 if local(gate) == "PolygonGate":
                     entry["vertices"] = [[float(attr(c, "value")) for c in v if local(c) == "coordinate"] for v in gate if local(v) == "vertex"]
                 if local(gate) == "RectangleGate":
                     entry["bounds"] = [[bound(d, "min", float("-inf")), bound(d, "max", float("inf"))] for d in dims]
                 out.append(entry)
-            walk(pop, file, path)
+            walk(pop, file, path, scales)
 
     for sample in (s for s in ET.fromstring(text).iter() if local(s) == "Sample"):
         node = next((n for n in sample if local(n) == "SampleNode"), None)
         data = next((n for n in sample if local(n) == "DataSet"), None)
         file = unquote((data.get("uri") if data is not None else None) or (node.get("name") if node is not None else "")).rpartition("/")[2]
+        drawn = (t for n in sample if local(n) == "Transformations" for t in n)
+        scales = {plain(attr(p, "name")): local(t) for t in drawn for p in t if local(p) == "parameter"}
         if node is not None:
-            walk(node, file, "root")
+            walk(node, file, "root", scales)
     return out
 
 
-GATES = "sample_file string, population_path string, name string, parent_path string, gate_type string, channels array<string>, vertices array<array<double>>, bounds array<array<double>>, count long"
+GATES = GATE_ROW
 
 
 def read_workspace(spark: SparkSession, path: str) -> DataFrame:
-    """The gates of workspace files as a table."""
-    texts = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("text"))
-    return spark.createDataFrame([g for r in texts.collect() for g in parse_workspace(r["text"])], GATES)
+    """The gates of workspace files as a table; a file is parsed in one task."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in GATES.split(", ")]
+        for pdf in parts:
+            for content in pdf["content"]:
+                yield pd.DataFrame([[g[c] for c in names] for g in parse_workspace(bytes(content).decode("utf-8"))], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, GATES)
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str = "source_filename") -> DataFrame:

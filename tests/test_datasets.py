@@ -135,3 +135,72 @@ def test_checked_folder(spark, tmp_path):
     assert len(kept.values) == len(want) == got["good.fcs"]["kept"] <= 2800 and set(kept.channel("FlowAI")) == {2000.0}
     flags = fcs.parse((out / "good_FlowAIFlagged.fcs").read_bytes()).channel("FlowAI")
     assert set(np.flatnonzero(flags == 2000.0).tolist()) == want
+
+
+WORKSPACE = """<Workspace xmlns:g="g" xmlns:d="d" xmlns:t="t"><SampleList>{samples}</SampleList></Workspace>"""
+SAMPLE = """<Sample><DataSet uri="file:/x/{name}.fcs"/><Transformations><t:log><d:parameter d:name="Comp-V1-A"/></t:log><t:biex><d:parameter d:name="B1-A"/></t:biex><t:linear><d:parameter d:name="FSC-A"/></t:linear></Transformations>
+<SampleNode name="t" count="{n}"><Subpopulations><Population name="P1" count="{p1}"><Gate><g:RectangleGate><g:dimension g:min="20"><d:fcs-dimension d:name="FSC-A"/></g:dimension>
+<g:dimension g:max="{high}"><d:fcs-dimension d:name="Comp-V1-A"/></g:dimension></g:RectangleGate></Gate><Subpopulations><Population name="DR+" count="7"><Gate><g:PolygonGate>
+<g:dimension><d:fcs-dimension d:name="Comp-V1-A"/></g:dimension><g:dimension><d:fcs-dimension d:name="B1-A"/></g:dimension>{corners}</g:PolygonGate></Gate></Population></Subpopulations></Population></Subpopulations></SampleNode></Sample>"""
+CORNERS = [(2.0, -300.0), (90.0, -300.0), (60.0, 400.0), (2.0, 200.0)]
+
+
+def write_workspace(path, samples):
+    corners = "".join(f'<g:vertex><g:coordinate d:value="{a}"/><g:coordinate d:value="{b}"/></g:vertex>' for a, b in CORNERS)
+    path.write_text(WORKSPACE.format(samples="".join(SAMPLE.format(name=name, n=9, p1=p1, high=high, corners=corners) for name, p1, high in samples)))
+
+
+def in_drawn(x, y):
+    """Even-odd rule on the drawn axes."""
+    shown = lambda a, b: (np.log10(np.maximum(a, 1.0)), np.arcsinh(b / 250.0))
+    x, y = shown(x, y)
+    corners = [shown(np.float64(a), np.float64(b)) for a, b in CORNERS]
+    inside = np.zeros(len(x), dtype=bool)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+        if y1 != y2:
+            inside ^= ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1)))
+    return inside
+
+
+def test_workspace_on_a_folder(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    names = ["FSC-A", "V1-A", "B1-A"]
+    rng = np.random.default_rng(6)
+    want = {}
+    for k, high in enumerate((70.0, 95.0)):
+        values = np.column_stack([rng.uniform(0, 100, 200), rng.uniform(-5, 100, 200), rng.normal(0, 300, 200)]).astype("<f4").astype(float)
+        (folder / f"s{k}.fcs").write_bytes(fcs.write(fcs.FcsEvents(names, [""] * 3, values, {f"$p{i + 1}r": "262144" for i in range(3)})))
+        p1 = (values[:, 0] >= 20) & (np.maximum(values[:, 1], 1.0) < high)
+        want[f"s{k}.fcs"] = (values, p1, p1 & in_drawn(values[:, 1], values[:, 2]))
+    write_workspace(tmp_path / "w.wsp", [("s0", int(want["s0.fcs"][1].sum()), 70), ("s1", 5, 95), ("s2", 1, 95)])
+    got = {(r["sample_file"], r["population_path"]): r for r in fcs_folders.apply_workspace(spark, str(tmp_path / "w.wsp"), str(folder), str(out)).collect()}
+    assert len(got) == 6 and got["s2.fcs", "P1"]["status"] == "no file" and got["s0.fcs", "P1"]["difference"] == 0
+    for name, (values, p1, dr) in want.items():
+        a, b = got[name, "P1"], got[name, "P1/DR+"]
+        assert (a["n"], a["parent_n"], b["n"], b["parent_n"], b["stored"]) == (p1.sum(), 200, dr.sum(), p1.sum(), 7) and 0 < dr.sum() < p1.sum()
+        assert not a["approximate"] and b["approximate"]
+        for ending, mask in (("P1", p1), ("DR+", dr)):
+            assert (fcs.parse((out / f"{name[:-4]}_{ending}.fcs").read_bytes()).values == values[mask]).all()
+    only = fcs_folders.apply_workspace(spark, str(tmp_path / "w.wsp"), str(folder), populations=["DR+"])
+    assert {r["population_path"] for r in only.collect()} == {"P1/DR+"}
+
+
+def test_plans_do_not_grow_with_the_samples(spark):
+    from tessera.operators import gates
+
+    def made(samples):
+        return [
+            {"sample_file": f"s{k}", "population_path": path, "parent_path": parent, "gate_type": "rectangle", "channels": ["x"], "bounds": [[low + k, 1e9]], "vertices": [], "count": 1}
+            for k in range(samples) for path, parent, low in (("P1", "root", 0.0), ("P1/a", "P1", 5.0))
+        ]
+
+    events = spark.range(500 * 20).select(F.concat(F.lit("s"), (F.col("id") % 500).cast("string")).alias("source_filename"), ((F.col("id") % 500) + F.floor(F.col("id") / 500)).cast("double").alias("x"))
+    size = lambda n: len(gates.replay(events, made(n))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(500) < 1.2 * size(2)
+    got = gates.replay(events, made(500)).groupBy("population_path").agg(F.sum("n"), F.sum("parent_n")).collect()
+    assert sorted(map(tuple, got)) == [("P1", 10000, 10000), ("P1/a", 7500, 10000)]
+    with pytest.raises(NotImplementedError):
+        gates.replay(events, [made(1)[0] | {"gate_type": "ellipsoid"}])
+    with pytest.raises(ValueError, match="missing"):
+        gates.replay(events.drop("x"), made(1))
