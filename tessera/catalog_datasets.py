@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import KEY, MEASURES, lines, query, table
-from .operators import cluster_models, density_trees, layers, mixtures, models, neighbour_information, spaces, tree_shap
+from .operators import bag_studies, cluster_models, density_trees, layers, mixtures, models, neighbour_information, spaces, tanglegrams, tree_shap, trees
 from .sources.dataset import Dataset, work_folder
 
 
@@ -118,3 +119,35 @@ def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _spending(spark, sf_dir).withColumn("_y", (F.col("c_acctbal") > 4500).cast("double"))
     model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=20, maxDepth=5, seed=42).fit(VectorAssembler(inputCols=list(SPENDING), outputCol="_x").transform(df))
     return tree_shap.tree_shap(df, SPENDING, ["o_custkey"], model, 1)
+
+
+@query(
+    """
+with r as (select l_suppkey, b.b as bag, l_quantity q, row_number() over (partition by l_suppkey, b.b order by md5('42|' || b.b || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) rk
+  from lineitem, (select unnest(range(0, 3)) as b) b)
+select l_suppkey, bag, s.s as size, count(*) as n_rows, avg(q) as l_quantity__mean, stddev_samp(q) as l_quantity__std from r, (select unnest([10, 30, 90]) as s) s where rk <= s.s group by all
+"""
+)
+def nested_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of three sizes from one ordering of the lines."""
+    made = bag_studies.nested_bags(lines(spark, sf_dir), "l_suppkey", MEASURES[:1], (10, 30, 90), 3, KEY[:3], ties=("l_quantity", "l_extendedprice"))
+    return made.withColumn("bag", F.col("bag").cast("long"))
+
+
+@query()
+def bag_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How suppliers' bags of two sizes fall into density clusters."""
+    df = lines(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
+    return bag_studies.compare_bag_sizes(df, "l_suppkey", MEASURES[:2], (30, 120), 3, KEY[:3], "nation", ties=("l_quantity", "l_extendedprice"))[0]
+
+
+@query()
+def turned_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of customers' profiles turned towards the fixed species tree, for every choice of method; every nation is a replicate of the species of its key modulo 6."""
+    df = table(spark, sf_dir, "customer").withColumns({"len": F.length("c_mktsegment").cast("double"), "species": F.pmod("c_nationkey", F.lit(len(trees.SPECIES)))})
+    df = df.withColumn("both", F.col("c_acctbal") * F.col("len"))
+    groups, m = tanglegrams.profiles(df, ["c_acctbal", "len", "both"], ["c_nationkey", "c_custkey"], "species")
+    names = [trees.SPECIES[int(g)] for g in groups]
+    fixed = trees.linkage(np.array([[trees.DIVERGENCE[a][trees.SPECIES.index(b)] for b in names] for a in names]))
+    rows = [tuple(r.values()) for r in tanglegrams.sensitivity(names, m, fixed)]
+    return spark.createDataFrame(rows, "standardized boolean, method string, metric string, baker_gamma double, p double, crossings int, crossings_as_built int, tau double, shared_clades int, leaf_order array<string>")
