@@ -348,6 +348,18 @@ def test_near_duplicates_that_stay_with_nulls_ties_and_clashes(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_two_results_of_stages_can_both_be_read(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, n in (("a", 20), ("b", 30)):
+        docs.limit(n).write.parquet(f"{tmp_path}/{name}")
+    a, b = (corpus_pipeline.cut_repeated_passages(spark, spark.read.parquet(f"{tmp_path}/{name}"), sf) for name in "ab")
+    c = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/b"), sf)
+    assert c.count() <= 30 and b.count() == 30 and a.count() == 20
+    assert corpus_pipeline.run(spark, sf).count() > 0 and a.count() == 20 and b.count() == 30
+
+
 def test_pipeline_stages_on_awkward_tables(spark, sf):
     import corpus_pipeline
 
