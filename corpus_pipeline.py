@@ -1,12 +1,17 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-A stage's result must be written before the next stage is called: that call removes what the one before left in the shared folder.
+A stage's result may read tables that the stage left in the shared folder. run() removes these once
+the result is written; where stages are called one by one, the stage that comes after does so when it is given
+documents that were written after the result was returned, as results handed on are.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import time
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +21,52 @@ from tessera.llm.common import collect_garbage, delete, shared_path, written_fol
 from tessera.llm.queries import table, vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders of intermediate tables that the last stage's result reads.
-_LEFT: list[str] = []
+
+
+class Left(NamedTuple):
+    """Folders that a stage's result reads, and when it was returned."""
+
+    stage: str
+    since: float
+    folders: list[str]
+
+
+_LEFT: list[Left] = []
+
+
+def _written_at(spark: SparkSession, files: list[str]) -> float:
+    """When the oldest of files was written; infinitely long ago if there is none."""
+    found = []
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        found.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1000)
+    return min(found, default=-math.inf)
+
+
+def _release(spark: SparkSession, done: list[Left]) -> None:
+    for left in done:
+        delete(spark, left.folders)
+        _LEFT.remove(left)
+    if done:
+        collect_garbage(spark)
 
 
 def stage(function: Stage) -> Stage:
-    """The stage, which first removes what the one before needed, if docs come from files that aren't among these."""
+    """The stage; first, what results of the stage before needed goes, if docs were written after these were returned and don't read it themselves."""
 
     @functools.wraps(function)
     def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles()
-        if files and not any(f"/{folder.rsplit('/', 1)[1]}/" in f for folder in _LEFT for f in files):
-            delete(spark, _LEFT)
-            _LEFT.clear()
-            collect_garbage(spark)
+        order = [f.__name__ for _, f in STAGES]
+        before = order[order.index(function.__name__) - 1] if function.__name__ in order[1:] else None
+        if any(left.stage == before for left in _LEFT):
+            files = docs.inputFiles()
+            began = _written_at(spark, files)
+            own = {f for f in files for left in _LEFT for folder in left.folders if f"/{folder.rsplit('/', 1)[1]}/" in f}
+            _release(spark, [left for left in _LEFT if not own and left.stage == before and began >= left.since])
         with written_folders() as folders:
             out = function(spark, docs, sf_dir)
-        _LEFT.extend(folders)
+        if folders:
+            _LEFT.append(Left(function.__name__, time.time(), list(folders)))
         return out
 
     return clean
@@ -91,6 +125,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        apply(spark, docs, sf_dir).write.parquet(path)
+        with written_folders() as folders:
+            apply.__wrapped__(spark, docs, sf_dir).write.parquet(path)
+        delete(spark, folders)
+        collect_garbage(spark)
         docs = spark.read.parquet(path)
     return docs

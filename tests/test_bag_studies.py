@@ -71,6 +71,6 @@ def test_selection_within_folds_and_before(spark, wide):
     # labels without meaning: selecting before the folds sees them, selecting within does not
     rng = np.random.default_rng(4)
     rows = [(f"g{i}", "ab"[rng.integers(2)], *map(float, rng.normal(size=40))) for i in range(60)]
-    noise, fs = spark.createDataFrame(rows, "g string, y string, " + ", ".join(f"n{j} double" for j in range(60))), [f"n{j}" for j in range(60)]
+    noise, fs = spark.createDataFrame(rows, "g string, y string, " + ", ".join(f"n{j} double" for j in range(40))), [f"n{j}" for j in range(60)]
     scores = [learners.class_scores(bag_studies.held_out_selected(noise, fs, "y", "g", ["MIM"], 4, before=b, folds=2, name="ElasticNet")[0]).first()["accuracy"] for b in (True, False)]
     assert scores[0] > scores[1]
