@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
-from . import ranks
+from . import gradient_models, ranks
 from .models import fold_of
 
 #: Rows that the nearest-neighbour model holds in each task; more is an error.
@@ -60,7 +60,7 @@ def _regressor(name: str, seed: int):
 
 
 CLASSIFIERS = ("ElasticNet", "RandomForest", "ExtraTrees", "GradientBoosting", "GaussianNB", "MLP", "SVM", "KNeighbors")
-REGRESSORS = ("ElasticNet", "RandomForest", "ExtraTrees", "GradientBoosting", "KNeighbors")
+REGRESSORS = ("ElasticNet", "RandomForest", "ExtraTrees", "GradientBoosting", "MLP", "SVM", "KNeighbors")
 
 
 def rbf_features(x: Column, width: int, n: int = 128, gamma: float | None = None, seed: int = 42) -> Column:
@@ -110,12 +110,14 @@ def _assembled(df: DataFrame, features: Sequence[str], kernel: bool, seed: int)
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
 
 
-def fit(train: DataFrame, features: Sequence[str], name: str, classes: int | None, seed: int = 42) -> tuple[Callable[[DataFrame], DataFrame], MlModel | Neighbours]:
+def fit(train: DataFrame, features: Sequence[str], name: str, classes: int | None, seed: int = 42) -> tuple[Callable[[DataFrame], DataFrame], MlModel | Neighbours | gradient_models.GradientModel]:
     """Fit on rows with a numeric label _y; returns what adds `prediction` and (where the model has one) `score`, and the model."""
     kernel = name == "SVM"
     rows = _assembled(train, features, kernel, seed)
     if name == "KNeighbors":
         model = Neighbours(rows, 5, classes)
+    elif classes is None and name in gradient_models.REGRESSORS:
+        model = gradient_models.fit(rows, name, seed=seed)
     else:
         estimator = _classifier(name, classes, len(features), seed) if classes else _regressor(name, seed)
         model = estimator.fit(rows.select("_x", "_y"))
