@@ -141,6 +141,28 @@ def bag_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_studies.compare_bag_sizes(df, "l_suppkey", MEASURES[:2], (30, 120), 3, KEY[:3], "nation", ties=("l_quantity", "l_extendedprice"))[0]
 
 
+@query("select l_suppkey, count(*) as n_rows, least(1.0, 100.0 / count(*))::double as overlap, 100.0 / count(*) > 0.2 as flagged from lineitem where l_suppkey is not null group by 1")
+def bag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of rows that two bags of 100 rows of a supplier are expected to have in common."""
+    return bag_studies.bag_overlap(lines(spark, sf_dir), "l_suppkey", 100)
+
+
+@query(
+    """
+with r as (select l_suppkey, b.b as bag, l_quantity q, l_discount d, row_number() over (partition by l_suppkey, b.b order by md5('42|' || b.b || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) rk
+  from lineitem, (select unnest(range(0, 3)) as b) b),
+g as (select *, sqrt((q - 10) ** 2 + (d - 0.02) ** 2) d1, sqrt((q - 25) ** 2 + (d - 0.05) ** 2) d2, sqrt((q - 40) ** 2 + (d - 0.08) ** 2) d3 from r where rk <= 20),
+c as (select *, list_position([d1, d2, d3], least(d1, d2, d3)) as k from g)
+select l_suppkey, bag, count(*) as n_rows, avg((k = 1)::int) as cluster_1__share, avg((k = 2)::int) as cluster_2__share, avg((k = 3)::int) as cluster_3__share from c group by all
+"""
+)
+def cluster_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of three given clusters in suppliers' bags of 20 rows."""
+    model = models.Clusters(("l_quantity", "l_discount"), ((10.0, 0.02), (25.0, 0.05), (40.0, 0.08)), 0.0)
+    made = bag_studies.cluster_shares(lines(spark, sf_dir), model, "l_suppkey", 3, 20, KEY[:3], ties=("l_quantity", "l_extendedprice"))
+    return made.withColumn("bag", F.col("bag").cast("long"))
+
+
 @query()
 def turned_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of customers' profiles turned towards the fixed species tree, for every choice of method; every nation is a replicate of the species of its key modulo 6."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from . import density_trees, learners, space
 from .density import clustering_quality
 from .layers import fit_layer
-from .models import BAG_STATISTICS, fold_of
+from .models import BAG_STATISTICS, Clusters, fold_of
+from .models import bags as drawn_bags
 from .neighbour_information import neighbour_information
 from .rows import sample_order
 
@@ -63,6 +64,25 @@ def compare_bag_sizes(
     return table, bags
 
 
+def cluster_shares(df: DataFrame, model: Clusters, subject: str, n_bags: int, size: int, key: Sequence[str], seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows (subject, bag, n_rows, cluster_{k}__share): the share of each cluster among a bag's rows, which are those of models.bags().
+
+    Rows that the model can't place count towards none, so a bag's shares may sum to less than 1.
+    """
+    names = [f"cluster_{k + 1}" for k in range(len(model.centroids))]
+    placed = model.assign(df, "_cluster")
+    marked = placed.withColumns({n: F.coalesce((F.col("_cluster") == n.capitalize()).cast("double"), F.lit(0.0)) for n in names})
+    made = drawn_bags(marked, subject, names, n_bags, size, key, ("mean",), seed, ties)
+    return made.withColumnsRenamed({f"{n}__mean": f"{n}__share" for n in names})
+
+
+def bag_overlap(df: DataFrame, subject: str, size: int, most: float = 0.2) -> DataFrame:
+    """Rows (subject, n_rows, overlap, flagged): the share of its rows that a bag of `size` is expected to have in common with another of the subject, and whether it is above `most`."""
+    n = df.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.count(F.lit(1)).alias("n_rows"))
+    share = F.least(F.lit(1.0), F.lit(float(size)) / F.col("n_rows"))
+    return n.select(subject, "n_rows", share.alias("overlap"), (share > most).alias("flagged"))
+
+
 def of_statistics(names: Sequence[str], keep: Sequence[str]) -> list[str]:
     """Bag features of the statistics kept, in order."""
     return [n for n in names if n.rpartition("__")[2] in keep]
