@@ -169,6 +169,36 @@ counted as (
 select doc_id, size, source_size, target, size * copies as taken, copies,
        case when copies = 0 then null when slope = 0 then share else 2 * share * whole / (w0 + sqrt(w0 * w0 + 2 * slope * share * whole)) end as position
 from counted
+""",
+    "op4_chat": r"""
+with recursive said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed as (
+  select *, dense_rank() over (order by conv_id nulls first) as c, row_number() over (partition by conv_id order by turn nulls first, encode(role), encode(text)) as i,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 as cost,
+         length(replace(replace(role, '\', '\\'), '|', '\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|' || '|>' || '<|end|>') + 2 as written
+  from said),
+summed as (select *, sum(cost) over (partition by c order by i)::bigint as upto from placed),
+conv as (
+  select c, any_value(conv_id) as conv_id, count(*)::bigint as n, (min_by(role, i) = 'system')::int::bigint as h, [0::bigint] || list(upto order by i) as upto, list(written order by i) as written,
+         string_agg(role || chr(10) || text || chr(10), '' order by i) as turns, coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as learnt
+  from summed group by c),
+-- i: turns before this one; back: turns repeated where a window starts with it, else null
+state as (
+  select c, h as i, h * upto[2] + upto[h + 2] - upto[h + 1] as used, 0::bigint as back from conv where n > h
+  union all
+  select s.c, s.i + 1,
+         case when s.used + upto[s.i + 3] - upto[s.i + 2] <= 256 then s.used + upto[s.i + 3] - upto[s.i + 2] else h * upto[2] + upto[s.i + 3] - upto[s.i + 2 - b.k] end,
+         case when s.used + upto[s.i + 3] - upto[s.i + 2] > 256 then b.k end
+  from state s join conv using (c),
+    lateral (select list_max(list_filter([0, 1, 2]::bigint[], lambda k: k = 0 or (k <= s.i + 1 - h and upto[s.i + 2] - upto[s.i + 2 - k] <= 64 and h * upto[2] + upto[s.i + 3] - upto[s.i + 2 - k] <= 256))) as k) b
+  where s.i + 1 < n),
+windows as (
+  select c, count(*) as n_windows, sum(coalesce(list_sum(written[i - back + 1:i]), 0))::bigint as repeated from state join conv using (c) where back is not null group by c)
+select conv_id, n as n_turns, sha256(turns) as turns_sha256, length(learnt)::bigint as loss_chars, sha256(learnt) as loss_sha256,
+       (coalesce(list_sum(written[h + 1:n]), 0) + coalesce(n_windows, 1) * h * written[1] + coalesce(repeated, 0))::bigint as formatted_chars, coalesce(n_windows, 1)::int as n_windows
+from conv left join windows using (c)
 """,
     "op7_line_dedup": r"""
 with docs as (select doc_id, text, md5(text) as k from documents),

@@ -73,11 +73,10 @@ def band_keys(values: np.ndarray, bands: int, rows: int, seed: int) -> list[int]
     return [xxhash.xxh64_intdigest(band.tobytes()) - (1 << 63) for band in low.reshape(bands, rows)]
 
 
-def _node(text: str) -> Column:
-    """A document; in order of doc_id (null last), then digest of the text."""
-    return F.struct(
-        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("digest")
-    )
+def _node(docs: DataFrame, text: str) -> Column:
+    """A document; in order of doc_id (null last), then digest of the text. A missing doc_id counts as zero of its type, or as the text "0"."""
+    kind = docs.schema["doc_id"].dataType
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("id"), F.xxhash64(F.col(text)).alias("digest"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -190,7 +189,7 @@ def similar_to_smaller(
     """Rows (doc_id, digest), digest the xxhash64 of the text: documents that links of similarity `threshold` join to a smaller document.
 
     Equal texts are one document with the smallest doc_id (null last); the others of them aren't
-    listed. Texts without words are similar to nothing. An empty table gives an empty result;
+    listed. doc_id keeps its type, a number or a string. Texts without words are similar to nothing. An empty table gives an empty result;
     extra columns are ignored.
     """
 
@@ -201,7 +200,7 @@ def similar_to_smaller(
             yield pa.array([band_keys(v, bands, rows, seed) if len(v) else None for v in found], type=pa.list_(pa.int64()))
         give_back()
 
-    texts = docs.select(_node(text).alias("node"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(_node(docs, text).alias("node"), F.col(text).cast("string").alias("text"))
     signed = materialize(texts.select("node", keys("text").alias("keys")).where("keys is not null"), "bands")
     distinct = signed.groupBy("node.digest").agg(F.min_by("keys", "node").alias("keys"), F.min("node").alias("node"))
     placed = materialize(

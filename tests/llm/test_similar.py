@@ -54,3 +54,18 @@ def test_crowds_of_near_copies(spark, rounds):
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (None, None)], "doc_id long, text string")
     got = {r["doc_id"] for r in similar.similar_to_smaller(docs, cap=8, rounds=rounds).collect()}
     assert got == set(range(122)) - smallest_of_groups(texts[:122])
+
+
+def test_ids_of_any_type(spark, sf):
+    texts = planted((1, 2), (4, 3), 6)
+    first = smallest_of_groups(texts)
+    named = [(f"doc|{i:03d}", t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)]
+    docs = spark.createDataFrame(named, DOCS.replace("doc_id long", "doc_id string"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert kept.dtypes[0] == ("doc_id", "string")
+    assert {r["doc_id"] for r in kept.collect()} == {f"doc|{i:03d}" for i in first}
+    # crowds compare in blocks
+    gone = similar.similar_to_smaller(docs, cap=1)
+    assert {r["doc_id"] for r in gone.collect()} == {f"doc|{i:03d}" for i in set(range(len(texts))) - first}
+    small = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"] for r in similar.similar_to_smaller(small).collect()} == set(range(len(texts))) - first
