@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import KEY, MEASURES, lines, query, table
-from .operators import bag_studies, cluster_models, density_trees, layers, mixtures, models, neighbour_information, spaces, tanglegrams, tree_shap, trees
+from .operators import bag_studies, cluster_models, density_trees, figures, layers, mixtures, models, neighbour_information, spaces, tanglegrams, tree_shap, trees
 from .sources.dataset import Dataset, work_folder
 
 
@@ -141,6 +141,22 @@ def bag_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_studies.compare_bag_sizes(df, "l_suppkey", MEASURES[:2], (30, 120), 3, KEY[:3], "nation", ties=("l_quantity", "l_extendedprice"))[0]
 
 
+@query(
+    """
+with p as (select avg(l_quantity) a1, stddev_pop(l_quantity) s1, avg(l_discount) a2, stddev_pop(l_discount) s2 from lineitem),
+z as (select l_returnflag, (l_quantity - a1) / s1 x, (l_discount - a2) / s2 y from lineitem, p),
+d as (select *, sqrt(x * x + y * y) f from z), r as (select median(f) radius from d)
+select l_returnflag, count(*) as n, avg(x) as l_quantity_z, avg(y) as l_discount_z, any_value(radius) as radius, avg((f <= radius * (1 + 1e-9))::int) as inside_1, avg((f <= radius * (2 * (1 + 1e-9)))::int) as inside_2
+from d, r group by 1
+"""
+)
+def distance_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centroids of the flags on two scaled axes, and how many rows lie within the median distance of all rows and twice that."""
+    df = lines(spark, sf_dir)
+    z = layers.fit_layer(df, ["l_quantity", "l_discount"]).apply(df, "_z")
+    return figures.distance_rings(z, ["l_returnflag"], ["l_quantity_z", "l_discount_z"])
+
+
 @query("select l_suppkey, count(*) as n_rows, least(1.0, 100.0 / count(*))::double as overlap, 100.0 / count(*) > 0.2 as flagged from lineitem where l_suppkey is not null group by 1")
 def bag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of rows that two bags of 100 rows of a supplier are expected to have in common."""

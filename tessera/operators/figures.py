@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .aggregates import nested
+from .ordered import quantile
 
 # Colours of conditions, and the palette for all others.
 PREFERRED = {"Young": "#1f77b4", "Old": "#d62728", "IF": "#2ca02c", "AL": "#ff7f0e"}
@@ -103,3 +106,34 @@ def map_key(neighbours: int, distance: float, components: int | None = None) ->
 def head_and_tail(df: DataFrame, order: Sequence[str], n: int = 5) -> tuple[DataFrame, DataFrame]:
     """The first and the last n rows in an order."""
     return df.orderBy(*order).limit(n), df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def distance_rings(projected: DataFrame, group: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """Rows (group..., n, axes, radius, inside_1, inside_2): centroid of each group, and the shares of its rows within once and twice the radius.
+
+    The radius is the median distance of all rows from the origin, the same in every row. Rows
+    without a value on an axis are left out; a billionth beyond a ring counts as within it, so that
+    rounding doesn't part rows of equal distance.
+    """
+    far = F.sqrt(sum((F.col(a).cast("double") * F.col(a) for a in axes), F.lit(0.0)))
+    known = projected.dropna(subset=list(axes)).withColumn("_far", far)
+    radius = quantile(known, "_far", 0.5)
+    inside = [F.avg((F.col("_far") <= F.lit(radius).cast("double") * (k * (1 + 1e-9))).cast("double")).alias(f"inside_{k}") for k in (1, 2)]
+    return known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a) for a in axes], F.lit(radius).cast("double").alias("radius"), *inside)
+
+
+def shown_features(df: DataFrame, features: Sequence[str] | None = None, leave_out: Sequence[str] = ()) -> list[str]:
+    """The features asked for, which must be columns; None: all numeric columns but those to leave out."""
+    if features is None:
+        return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in leave_out]
+    if absent := [f for f in features if f not in df.columns]:
+        raise ValueError(f"no such features: {absent}")
+    return list(features)
+
+
+def category_blocks(features: Sequence[str], categories: Mapping[str, str], order: Sequence[str]) -> list[str]:
+    """The features with those of a category together, categories in their order; what has none comes last, with a warning."""
+    if unknown := [f for f in features if categories.get(f) not in order]:
+        warnings.warn(f"features without a category: {unknown}", stacklevel=2)
+    place = {c: k for k, c in enumerate(order)}
+    return sorted(features, key=lambda f: place.get(categories.get(f), len(place)))

@@ -69,6 +69,17 @@ def read_clinical(spark: SparkSession, path: str, missing: float = -1.0) -> Data
     return rows.withColumn("_rk", F.row_number().over(last)).where("_rk = 1").select("subject_ID", *names)
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (stained_file, unstained_file, ...) of a CSV file with a header; a blank file name is null, and a stained file that comes twice is an error."""
+    rows = spark.read.csv(path, header=True)
+    if absent := {"stained_file", "unstained_file"} - set(rows.columns):
+        raise ValueError(f"pairs without the columns {sorted(absent)}")
+    named = rows.withColumns({c: F.when(F.trim(c) != "", F.trim(c)) for c in ("stained_file", "unstained_file")}).where("stained_file is not null")
+    if twice := [r[0] for r in named.groupBy("stained_file").count().where("count > 1").orderBy("stained_file").limit(5).collect()]:
+        raise ValueError(f"stained files with several partners, among them {twice}")
+    return named
+
+
 def enrich(events: DataFrame, clinical: DataFrame, key: str = "subject_ID") -> DataFrame:
     """Left join of the subject table, whose columns replace those of the same name; Spark chooses how by its size."""
     return events.drop(*[c for c in clinical.columns if c != key]).join(clinical, key, "left")
