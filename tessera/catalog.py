@@ -588,7 +588,21 @@ def training_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.drift_from_training(df.where("l_linestatus = 'O'"), df.where("l_linestatus = 'F'"), ["l_quantity", "l_tax"])
 
 
-@query()
+@query(
+    """
+with per as (select l_suppkey, l_returnflag y, count(*) n, sum(l_quantity) q, sum(l_tax) t from lineitem group by all),
+every as (select y, sum(n) n, sum(q) q, sum(t) t from per group by y),
+groups as (select distinct l_suppkey from per),
+centre as (
+  select g.l_suppkey, e.y, (e.q - coalesce(p.q, 0)) / (e.n - coalesce(p.n, 0)) q, (e.t - coalesce(p.t, 0)) / (e.n - coalesce(p.n, 0)) t
+  from groups g cross join every e left join per p on p.l_suppkey = g.l_suppkey and p.y = e.y where e.n > coalesce(p.n, 0)),
+held as (select row_number() over () as id, l_suppkey, l_returnflag, l_quantity, l_tax from lineitem),
+guessed as (
+  select id, any_value(h.l_suppkey) as l_suppkey, any_value(l_returnflag) as l_returnflag, min(row((l_quantity - q) * (l_quantity - q) + (l_tax - t) * (l_tax - t), y)) as best
+  from held h join centre c on c.l_suppkey = h.l_suppkey group by id)
+select l_suppkey, l_returnflag, best[2] as predicted, count(*) as n from guessed group by all
+"""
+)
 def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.nearest_centroid_by_group(lines(spark, sf_dir), ["l_quantity", "l_tax"], "l_returnflag", "l_suppkey")
 
@@ -836,7 +850,27 @@ def chimera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy(F.col("o_orderpriority").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.sum("o_orderkey").alias("keys"))
 
 
-@query()
+@query(
+    """
+with own as (select o_orderpriority s, o_orderkey k, o_totalprice x, o_custkey y from orders where o_orderpriority in ('1-URGENT', '5-LOW')),
+size as (select min(c) n from (select count(*) c from own group by s)),
+plan as (
+  select r::double as ratio, k as repeat, floor(n * r::double) as a, n - floor(n * r::double) as b
+  from size, (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as r), (select unnest([0, 1]) as k)),
+ranked as (
+  select o.*, ratio, repeat, case when s = '1-URGENT' then a else b end as most, row_number() over (partition by s, ratio, repeat order by md5((42 + repeat) || '|' || k), k) as rk
+  from own o, plan),
+mixed as (
+  select 'mixed ' || ratio || ' ' || repeat as s, ratio, x, y from ranked where rk <= most
+  union all select s, case when s = '1-URGENT' then 1.0 else 0.0 end, x, y from own),
+scale as (select avg(x) ax, stddev_pop(x) sx, avg(y) ay, stddev_pop(y) sy from mixed),
+z as (select s, ratio, (x - ax) / sx x, (y - ay) / sy y from mixed, scale),
+far as (select s, ratio, sqrt((x - avg(x) over w) ** 2 + (y - avg(y) over w) ** 2) d from z window w as (partition by s)),
+each as (select s, any_value(ratio) as ratio, median(d) d from far group by s),
+per as (select ratio, count(*) as n, avg(d) as mean_d, stddev_samp(d) as sd_d from each group by ratio)
+select *, case when ratio > 0.1 and ratio <= 0.5 then mean_d >= lag(mean_d) over (order by ratio) - 0.01 end as rising from per
+"""
+)
 def chimera_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chimeras.validate(table(spark, sf_dir, "orders"), "o_orderpriority", "1-URGENT", "5-LOW", ["o_totalprice", "o_custkey"], ["o_orderkey"], repeats=2)
 
