@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import in_polygon
+from ..functions.scalars import asinh, in_polygon
 from .quality import label_channel, scatter_gate
 
 #: Divides values on a biexponential axis before the inverse hyperbolic sine that stands for it.
@@ -18,13 +18,7 @@ def shown(value: Column, scale: str) -> Column:
     """A value where its axis shows it."""
     if scale == "log":
         return F.log10(F.greatest(value, F.lit(1.0)))
-    return F.asinh(value / COFACTOR) if scale == "biex" else value
-
-
-def _shown(value: float, scale: str) -> float:
-    from math import asinh, log10
-
-    return log10(max(value, 1.0)) if scale == "log" else asinh(value / COFACTOR) if scale == "biex" else value
+    return asinh(value / COFACTOR) if scale == "biex" else value
 
 
 def gate(row: Mapping, scales: Mapping[str, str] | None = None) -> Column:
@@ -38,7 +32,7 @@ def gate(row: Mapping, scales: Mapping[str, str] | None = None) -> Column:
             inside = inside & (v >= F.lit(low)) & (v < F.lit(high))
         return inside
     if row["gate_type"] == "polygon":
-        corners = [tuple(_shown(v, a) for v, a in zip(p, axes, strict=True)) for p in row["vertices"]]
+        corners = [tuple(shown(F.lit(float(v)), a) for v, a in zip(p, axes, strict=True)) for p in row["vertices"]]  # as rows are shown: a row on a corner equals it
         return in_polygon(*[shown(F.col(c), a) for c, a in zip(names, axes, strict=True)], corners)
     raise NotImplementedError(f"gates of type {row['gate_type']}")
 
@@ -84,7 +78,7 @@ def gate_rows(spark: SparkSession, gates: Sequence[Mapping] | DataFrame, scales:
 def _prepared(table: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Rows (sample_file, gates): a sample's gates, parents first, with places of channels and corners where the axes show them."""
     scale = lambda c: F.coalesce(F.try_element_at("scales", c), F.lit("linear"))
-    drawn = lambda v, s: F.when(s == "log", F.log10(F.greatest(v, F.lit(1.0)))).when(s == "biex", F.asinh(v / COFACTOR)).otherwise(v)
+    drawn = lambda v, s: F.when(s == "log", F.log10(F.greatest(v, F.lit(1.0)))).when(s == "biex", asinh(v / COFACTOR)).otherwise(v)
     sides = F.transform("channels", lambda c: F.struct((F.array_position(F.array(*map(F.lit, channels)), c) - 1).cast("int").alias("at"), scale(c).alias("scale")))
     corners = F.transform("vertices", lambda p: F.transform(p, lambda v, i: drawn(v, scale(F.get("channels", i)))))
     made = table.withColumns({"sides": sides, "corners": corners})
@@ -107,7 +101,7 @@ def memberships(events: DataFrame, gates: DataFrame, file: str = "source_filenam
     joined = events.withColumn("_v", values).join(_prepared(gates, channels).withColumnRenamed("sample_file", file), file)
 
     def inside(g: Column) -> Column:
-        drawn = lambda side: F.when(side["scale"] == "log", F.log10(F.greatest(F.get("_v", side["at"]), F.lit(1.0)))).when(side["scale"] == "biex", F.asinh(F.get("_v", side["at"]) / COFACTOR)).otherwise(F.get("_v", side["at"]))
+        drawn = lambda side: F.when(side["scale"] == "log", F.log10(F.greatest(F.get("_v", side["at"]), F.lit(1.0)))).when(side["scale"] == "biex", asinh(F.get("_v", side["at"]) / COFACTOR)).otherwise(F.get("_v", side["at"]))
         floor = lambda side: F.when(side["scale"] == "log", F.greatest(F.get("_v", side["at"]), F.lit(1.0))).otherwise(F.get("_v", side["at"]))
         within = F.zip_with(g["sides"], g["bounds"], lambda side, b: (floor(side) >= F.get(b, F.lit(0))) & (floor(side) < F.get(b, F.lit(1))))
         box = F.forall(within, lambda ok: F.coalesce(ok, F.lit(False)))

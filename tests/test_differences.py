@@ -4,6 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import scalars
+from tessera.operators import gates
 
 from .oracle import same
 
@@ -14,3 +16,20 @@ def test_file_names_that_several_organ_remainders_share(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
     same(catalog.QUERIES["annotated_files"](spark, str(tmp_path)), con, catalog.ORACLE_SQL["annotated_files"])
+
+
+def test_drawn_gate_holds_rows_on_its_lower_edge(spark, tmp_path):
+    """Prices of 10000 and 50000 lie on the gate's edges, quantities of 20 and 40 likewise."""
+    rows = [("F", float(q), float(p)) for q in (19, 20, 30, 39, 40, 41) for p in (9999.99, 10000.0, 10000.01, 30000.0, 49999.99, 50000.0, 50000.01)]
+    spark.createDataFrame(rows, "l_linestatus string, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    same(catalog.QUERIES["drawn_gate"](spark, str(tmp_path)), con, catalog.ORACLE_SQL["drawn_gate"])
+    assert catalog.QUERIES["drawn_gate"](spark, str(tmp_path)).first()["n"] == 12
+
+
+def test_arcsinh_of_large_values_below_zero(spark):
+    df = spark.createDataFrame([(v,) for v in (-1e12, -20000.0, -1.0, 0.0, 20000.0, 1e12, None, float("nan"))], "v double")
+    got = [r[0] for r in df.select(scalars.arcsinh(F.col("v"), 250.0)).collect()]
+    assert [got[0], got[1]] == [-got[5], -got[4]] and got[6] is None and got[7] != got[7]
+    assert [r[0] for r in df.where("v < 0").select(gates.shown(F.col("v"), "biex")).collect()] == got[:3]
