@@ -64,12 +64,29 @@ def mode(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def nested_weights(df: DataFrame, hierarchy: Sequence[str], name: str = "weight") -> DataFrame:
-    """df with a weight by which every unit of a level counts alike below its parent; weights sum to 1."""
-    weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*hierarchy))
-    for depth in range(len(hierarchy)):
-        children = F.size(F.collect_set(hierarchy[depth]).over(Window.partitionBy(*hierarchy[:depth])))
-        weight = weight / children
-    return df.withColumn(name, weight)
+    """df with a weight by which every unit of a level counts alike below its parent; weights sum to 1.
+
+    Units are counted by grouping and come to the rows by a join, so nothing but df's own columns
+    is shuffled. Null is a unit of its own, but counts as no child of its parent.
+    """
+    own = [f"_h{k}" for k in range(len(hierarchy))]
+    units = df.groupBy(*[F.col(h).alias(o) for h, o in zip(hierarchy, own, strict=True)]).agg(F.count(F.lit(1)).alias("_rows"))
+    weight, made = 1.0 / F.col("_rows"), units
+    for depth, child in enumerate(own):
+        below = units.select(*own[: depth + 1]).distinct().groupBy(*[F.col(o).alias(f"{o}_") for o in own[:depth]]).agg(F.count(child).alias(f"_n{depth}"))
+        made = made.join(below, _alike([(F.col(o), F.col(f"{o}_")) for o in own[:depth]])).drop(*[f"{o}_" for o in own[:depth]])
+        weight = weight / F.col(f"_n{depth}")
+    weights = made.select(*own, weight.alias("_w"))
+    joined = df.drop(name).join(weights, _alike([(df[h], F.col(o)) for h, o in zip(hierarchy, own, strict=True)]))
+    return joined.withColumnRenamed("_w", name).drop(*own)
+
+
+def _alike(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    """Whether both sides of every pair are equal, nulls included."""
+    same = F.lit(True)
+    for a, b in pairs:
+        same = same & a.eqNullSafe(b)
+    return same
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:

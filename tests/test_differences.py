@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import scalars
-from tessera.operators import gates
+from tessera.operators import aggregates, gates
 
 from .oracle import same
 
@@ -33,3 +33,11 @@ def test_arcsinh_of_large_values_below_zero(spark):
     got = [r[0] for r in df.select(scalars.arcsinh(F.col("v"), 250.0)).collect()]
     assert [got[0], got[1]] == [-got[5], -got[4]] and got[6] is None and got[7] != got[7]
     assert [r[0] for r in df.where("v < 0").select(gates.shown(F.col("v"), "biex")).collect()] == got[:3]
+
+
+def test_weights_shuffle_no_more_than_rows_and_units(spark):
+    """A window with the set of all units in every row once made the rows grow by the number of units."""
+    df = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("a", 2, 2), ("b", 3, 3), ("b", None, 4), (None, 5, 5)], "g string, s long, i long")
+    got = aggregates.nested_weights(df, ["g", "s"])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["i"]: r["weight"] for r in got.collect()} == {0: 1 / 8, 1: 1 / 8, 2: 1 / 4, 3: 1 / 2, 4: 1 / 2, 5: 1 / 2}
