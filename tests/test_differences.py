@@ -1,11 +1,12 @@
 """Queries that once differed from their SQL on larger tables."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import scalars
-from tessera.operators import aggregates, gates
+from tessera.operators import aggregates, gates, models, ordered
 
 from .oracle import same
 
@@ -41,3 +42,32 @@ def test_weights_shuffle_no_more_than_rows_and_units(spark):
     got = aggregates.nested_weights(df, ["g", "s"])
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["i"]: r["weight"] for r in got.collect()} == {0: 1 / 8, 1: 1 / 8, 2: 1 / 4, 3: 1 / 2, 4: 1 / 2, 5: 1 / 2}
+
+
+def test_quantiles_compare_each_row_with_few_edges(spark):
+    """All edges were once compared with every row, and again for the row above."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=4000), np.repeat(0.5, 500), [7.0] * 90])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)] * 700, "v double")
+    for share in (0.0, 0.01, 0.3, 0.5, 0.731, 0.99, 1.0):
+        assert abs(ordered.quantile(df, "v", share, task_rows=50, parts=16) - np.quantile(v, share)) < 1e-12
+    ranks = np.sort(np.append(np.full(700, -np.inf), v))
+    for down in (False, True):
+        for k in (1, 650, 900, 3000, len(ranks)):
+            want = ranks[-k] if down else ranks[k - 1]
+            assert ordered.row_at(df, ["v"], down, k, 50, 16)[0] == (None if want == -np.inf else want)
+    assert all(len(ordered._around(sorted(rng.normal(size=255)), 1000, k)) <= 2 for k in (0, 5, 500, 999))
+
+
+def test_clusters_are_summed_in_batches(spark):
+    """A Lloyd step in numpy gives what a grouped table gives, weights included."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in (0.0, 3.0)])
+    df = spark.createDataFrame([(i, float(a), float(b), 1.0 + i % 3) for i, (a, b) in enumerate(x)], "i long, a double, b double, w double")
+    w = 1.0 + np.arange(len(x)) % 3
+    for weight in (None, "w"):
+        model = models.fit_clusters(df, ["a", "b"], 2, ["i"], weight=weight)
+        halves = [np.average(x[h], axis=0, weights=w[h] if weight else None) for h in (slice(0, 60), slice(60, 120))]
+        assert np.allclose(sorted(model.centroids), sorted(map(tuple, halves)))
+    seen = models._cluster_sums(df.repartition(3), ["a", "b"], np.array([[0.0, 0.0], [3.0, 3.0], [99.0, 99.0]]), None)
+    assert sorted((r["c"], r["n"]) for r in seen) == [(0, 60), (1, 60)]
