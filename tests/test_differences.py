@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import scalars
-from tessera.operators import aggregates, gates, models, ordered
+from tessera.operators import aggregates, gates, models, ordered, quality
 
 from .oracle import same
 
@@ -71,3 +71,15 @@ def test_clusters_are_summed_in_batches(spark):
         assert np.allclose(sorted(model.centroids), sorted(map(tuple, halves)))
     seen = models._cluster_sums(df.repartition(3), ["a", "b"], np.array([[0.0, 0.0], [3.0, 3.0], [99.0, 99.0]]), None)
     assert sorted((r["c"], r["n"]) for r in seen) == [(0, 60), (1, 60)]
+
+
+def test_best_pairs_meet_prefixes_not_files(spark):
+    """Stained files were once joined with all unstained ones that share two tokens: rows times rows."""
+    files = ["a_b_c_S1.fcs", "a_b_d_S2", "a_x_S3", "a_b_S4", "one", "a_b_c_U1.FCS", "a_b_c_U2", "a_b_U3", "lone_U", "q_q_S5", "q_q_U9", "q_q_S5"]
+    got = quality.best_pairs(spark.createDataFrame([(f,) for f in files], "file string"), ~F.col("file").rlike("_U"))
+    want = {"a_b_c_S1.fcs": ("a_b_c_U1.FCS", 3, True), "a_b_d_S2": ("a_b_U3", 2, True), "a_b_S4": ("a_b_U3", 2, True), "a_x_S3": (None, None, False), "one": (None, None, False), "q_q_S5": ("q_q_U9", 2, True)}
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want and got.count() == len(want)
+    many = spark.range(3000).select(F.concat(F.lit("a_b_"), F.when(F.col("id") % 2 == 0, "S").otherwise("U"), F.col("id").cast("string")).alias("file"))
+    assert quality.best_pairs(many, F.col("file").rlike("_S[0-9]+$")).where("several and unstained_file = 'a_b_U1'").count() == 1500
+    plan = quality.best_pairs(many, F.col("file").rlike("_S[0-9]+$"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "k0" not in plan and "Window" not in plan
