@@ -83,3 +83,15 @@ def test_best_pairs_meet_prefixes_not_files(spark):
     assert quality.best_pairs(many, F.col("file").rlike("_S[0-9]+$")).where("several and unstained_file = 'a_b_U1'").count() == 1500
     plan = quality.best_pairs(many, F.col("file").rlike("_S[0-9]+$"))._jdf.queryExecution().optimizedPlan().toString()
     assert "k0" not in plan and "Window" not in plan
+
+
+def test_scan_looks_for_no_limits_and_sums_inertia_in_batches(spark, monkeypatch):
+    """Limits of each number of clusters were once found and thrown away."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.3, (50, 2)) for c in (0.0, 3.0)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i long, a double, b double")
+    fitted = models.fit_clusters(df, ["a", "b"], 2, ["i"])
+    monkeypatch.setattr(models, "quantile", None)
+    got = {r["n_clusters"]: r for r in models.scan_clusters(df, ["a", "b"], (2, 3), ["i"])}
+    apart = ((x[:, None] - np.array(fitted.centroids)[None]) ** 2).sum(axis=2).min(axis=1)
+    assert abs(got[2]["inertia"] - apart.sum()) < 1e-9 and got[2]["smallest_share"] == 0.5 and got[3]["inertia"] < got[2]["inertia"]
