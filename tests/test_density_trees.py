@@ -61,3 +61,24 @@ def test_awkward_tables(spark):
     alike = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "i long, f0 double")
     got = {r["i"]: r["cluster"] for r in density_trees.hdbscan(alike, ["i"], ["f0"], 5, block=7).collect()}
     assert len(got) == 20 and len({got[i] for i in range(0, 20, 2)}) == 1 and len({got[i] for i in range(1, 20, 2)}) == 1
+
+
+def test_rows_visit_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df, names = rows_of(spark, rng.normal(size=(3000, 2)))
+    seen, plain = {}, density_trees.written
+    monkeypatch.setattr(density_trees, "written", lambda df, name: seen.setdefault(name, []).append(plain(df, name)) or seen[name][-1])
+    assert density_trees.hdbscan(df, ["i"], names, 5, block=60).count() == 3000
+    cells = seen["placed"][0].select("cell").distinct().count()
+    met = seen["near"][0].selectExpr("avg(size(others))").first()[0]
+    assert cells >= 40 and met < 3  # every other cell, when pairs of blocks were compared
+
+
+def test_copies_join_as_in_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.4, (40, 2)) for c in (0, 3)] + [rng.uniform(-2, 5, (15, 2))]).round(1)
+    x = x[rng.permutation(np.repeat(np.arange(len(x)), rng.integers(1, 5, len(x))))]
+    df, names = rows_of(spark, x)
+    for block in (25, 1000):
+        got = {r["i"]: r["cluster"] for r in density_trees.hdbscan(df, ["i"], names, 9, block=block).collect()}
+        assert same_clusters(np.array([got[i] for i in range(len(x))]), density.hdbscan(x, 9))
