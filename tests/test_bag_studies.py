@@ -74,3 +74,11 @@ def test_selection_within_folds_and_before(spark, wide):
     assert [r["feature"] for r in again] == per[0]
     once = bag_studies.held_out_selected(df, names, "y", "g", ["HighVariance"], top_k=3, before=True, folds=2, name="ElasticNet")[1].collect()
     assert [r["feature"] for r in once if r["fold"] == 0] == [r["feature"] for r in once if r["fold"] == 1] and len(once) == 6
+
+
+def test_bags_are_drawn_once_for_all_sizes(spark, monkeypatch):
+    df = spark.createDataFrame([(f"s{s}", "ab"[s % 2], i, float((s * i) % 7)) for s in range(4) for i in range(12)], "subject string, arm string, i long, u double")
+    seen, plain = [], bag_studies.written
+    monkeypatch.setattr(bag_studies, "written", lambda df, name: seen.append(name) or plain(df, name))
+    bag_studies.compare_bag_sizes(df, "subject", ["u"], (2, 5), 2, ["subject", "i"], "arm", ("mean",), 8)
+    assert seen.count("bags") == 1 and seen.count("named") == 2
