@@ -31,7 +31,7 @@ from .common import give_back
 
 #: Parts above which a word counts as long.
 LONG = 96
-#: Pieces remembered by each worker.
+#: Pieces, and words, that each worker remembers in either of two generations.
 REMEMBERED = 100_000
 _BITS = 20
 _MASK = (1 << _BITS) - 1
@@ -55,20 +55,27 @@ def byte_alphabet() -> list[str]:
 
 
 class _Seen(dict):
-    """Remembers what `make` gives for short keys, a bounded number of them."""
+    """Remembers what `make` gives for short keys: the newest ones and as many before, of which those met again stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key: str):
-        got = self.make(key)
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
+                self.before = dict(self)
+                super().clear()
             self[key] = got
         return got
 
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
+
 
 class Codec:
     """Encoder and decoder for one vocabulary; `spec` is the text of its file."""
@@ -96,7 +103,7 @@ class Codec:
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.seen = _Seen(self.piece)
-        self.seen_words: dict[str, tuple[int, ...]] = {}
+        self.seen_words = _Seen(lambda word: self.merge(word.encode("utf-8")))
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word."""
@@ -139,22 +146,12 @@ class Codec:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one normalised word."""
-        got = self.seen_words.get(word)
-        if got is None:
-            got = self.merge(word.encode("utf-8"))
-            if len(word) <= 64:
-                if len(self.seen_words) >= REMEMBERED:
-                    self.seen_words.clear()
-                self.seen_words[word] = got
-        return got
-
     def piece(self, raw: str) -> tuple[int, ...]:
         """Ids of text without white space and special tokens."""
-        text = unicodedata.normalize("NFC", raw)
+        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        return tuple(chain.from_iterable(map(self.word, self.words.findall(text))))
+        words = self.words.findall(text)
+        return self.seen_words[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.seen_words.__getitem__, words)))
 
     def _plain(self, text: str) -> list[int]:
         pieces = [p for p in _BLANK.split(text) if p] if _ODD.search(text) else text.split()

@@ -213,3 +213,14 @@ def test_pipeline_against_its_parts(spark, sf):
     left = {r["doc_id"]: brute_fingerprint(r["text"]) for r in kept.collect()}
     assert not any((a ^ b).bit_count() <= 2 for i, a in left.items() for j, b in left.items() if i < j)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= set(left)
+
+
+def test_bpe_remembers_what_it_meets_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    made = []
+    seen = bpe._Seen(lambda key: made.append(key) or (len(key),))
+    for i in range(200):
+        assert seen["often"] == (5,) and seen[f"once {i}"] == (len(f"once {i}"),)
+    assert made.count("often") == 1 and len(seen) + len(seen.before) <= 20
+    seen.clear()
+    assert seen["often"] == (5,) and made.count("often") == 2
