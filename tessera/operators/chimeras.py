@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.dataset import written
 from .heterogeneity import dispersion
 from .layers import fit_layer
 
@@ -32,10 +33,11 @@ def chimeras(df: DataFrame, subject: str, first: str, second: str, key: Sequence
     n = n or min(sizes.values())
     if any(int(n * r) > sizes[first] or n - int(n * r) > sizes[second] for r in ratios):
         raise ValueError("a subject has too few rows")
-    plan = F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(k).alias("repeat"), F.lit(int(n * r)).alias("a"), F.lit(n - int(n * r)).alias("b")) for r in ratios for k in range(repeats)])
-    drawn = rows.withColumn("_p", F.explode(plan)).select("*", "_p.ratio", "_p.repeat")
-    rank = F.row_number().over(Window.partitionBy(subject, "ratio", "repeat").orderBy(_order(key, F.lit(seed) + F.col("repeat")), *key))
-    taken = drawn.withColumn("_rank", rank).where(F.col("_rank") <= F.when(own == first, F.col("_p.a")).otherwise(F.col("_p.b"))).drop("_rank", "_p")
+    plan = F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(int(n * r)).alias("a"), F.lit(n - int(n * r)).alias("b")) for r in ratios])
+    drawn = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rank = F.row_number().over(Window.partitionBy(subject, "repeat").orderBy(_order(key, F.lit(seed) + F.col("repeat")), *key))  # one order serves all ratios
+    of = F.filter(plan, lambda p: F.col("_rank") <= F.when(own == first, p["a"]).otherwise(p["b"]))
+    taken = drawn.withColumn("_rank", rank).withColumn("_p", F.explode(of)).withColumn("ratio", F.col("_p.ratio")).drop("_rank", "_p")
     return taken.withColumn(subject, F.concat(F.lit(f"chimera_{first}x{second}_r"), F.format_string("%.2f", "ratio"), F.lit("_"), F.col("repeat").cast("string")))
 
 
@@ -44,12 +46,13 @@ def validate(df: DataFrame, subject: str, first: str, second: str, features: Seq
 
     rising tells whether mean_d is no more than `slack` below that of the ratio before, for ratios up to a half.
     """
+    df = df.select(*dict.fromkeys((subject, *features, *key)))
     made = chimeras(df, subject, first, second, key, ratios, repeats, seed=seed)
     own = F.col(subject).cast("string")
     pure = df.where(own.isin(first, second)).withColumns({"ratio": F.when(own == first, 1.0).otherwise(0.0), "repeat": F.lit(0), subject: own})
-    both = made.unionByName(pure)
+    both = written(made.unionByName(pure).select(subject, "ratio", *features), "mixtures")
     of = both.groupBy(subject).agg(F.first("ratio").alias("ratio"))
-    per = dispersion(both, subject, features).join(of, subject).groupBy("ratio").agg(F.count(F.lit(1)).alias("n"), F.avg("mhi_d").alias("mean_d"), F.stddev_samp("mhi_d").alias("sd_d"))
+    per = dispersion(both, subject, features, large=True).join(of, subject).groupBy("ratio").agg(F.count(F.lit(1)).alias("n"), F.avg("mhi_d").alias("mean_d"), F.stddev_samp("mhi_d").alias("sd_d"))
     before = F.lag("mean_d").over(Window.orderBy("ratio"))  # a row per ratio
     checked = F.col("ratio").between(min(ratios), 0.5) & before.isNotNull() & (F.col("ratio") > min(ratios))
     return per.withColumn("rising", F.when(checked, F.col("mean_d") >= before - slack))

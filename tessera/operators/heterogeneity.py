@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
+from ..sources.dataset import written
 from .layers import Layer, fit_layer
 from .space import fit_axes
 
@@ -19,29 +20,69 @@ from .space import fit_axes
 MIN_ROWS = 5
 
 
-def _big_enough(df: DataFrame, group: str) -> DataFrame:
+def _few(df: DataFrame, large: bool) -> DataFrame:
+    """A table of a row per group; where groups are large they are few, and it goes to the rows."""
+    return F.broadcast(df) if large else df
+
+
+def _big_enough(df: DataFrame, group: str, large: bool = False) -> DataFrame:
     """Rows of groups of MIN_ROWS or more; null groups are dropped."""
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= MIN_ROWS)
-    return df.join(sizes, group)
+    return df.join(_few(sizes, large), group)
 
 
-def _distances(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+def _distances(df: DataFrame, group: str, columns: Sequence[str], large: bool = False) -> DataFrame:
     """Adds d, the Euclidean distance to the group's centroid."""
     centroids = df.groupBy(group).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    joined = df.join(centroids, group)
+    joined = df.join(_few(centroids, large), group)
     return joined.withColumn("d", F.sqrt(sum(((F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) for c in columns), F.lit(0.0))))
 
 
-def dispersion(df: DataFrame, group: str, features: Sequence[str], standardize: str = "all") -> DataFrame:
-    """Per group: n, median and quartiles of the distance of standardised rows to their centroid (z-scores over all rows or the group)."""
-    rows = _big_enough(df, group)
+def quantiles_of_large(df: DataFrame, group: str, value: str, shares: Sequence[float], bins: int = 4096) -> DataFrame:
+    """Rows (group, n, q), q the exact quantiles of each group, linear between rows; a group's values needn't fit a task.
+
+    Values are counted in cells of each group's range, and only cells that hold a row asked for are
+    sorted. n counts all rows, null values too; NaN comes last.
+    """
+    narrow = written(df.select(group, F.col(value).cast("double").alias("v")), "values")
+    fine = F.when(~F.isnan("v"), F.col("v"))
+    ends = narrow.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("_known"), F.min(fine).alias("_low"), (F.max(fine) - F.min(fine)).alias("_wide"))
+    cell = F.when(F.isnan("v"), F.lit(bins).cast("long")).otherwise(F.coalesce(F.least(F.floor((F.col("v") - F.col("_low")) / F.when(F.col("_wide") > 0, F.col("_wide")) * bins), F.lit(bins - 1)), F.lit(0)).cast("long"))
+    ends = written(ends, "ends")
+    placed = narrow.where("v is not null").join(F.broadcast(ends.drop("n")), group).withColumn("_cell", cell)
+    counts = placed.groupBy(group, "_cell", "_known").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(group).orderBy("_cell")) - F.col("_c")
+    places = F.array(*[f(F.lit(float(s)) * (F.col("_known") - 1)).cast("long") for s in shares for f in (F.floor, F.ceil)])
+    inside = F.filter(F.array_distinct(places), lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_c")))
+    wanted = counts.withColumn("_before", before).withColumn("_places", inside).where(F.size("_places") > 0).select(group, "_cell", "_before", "_places")
+    near = placed.select(group, "_cell", "v").join(F.broadcast(wanted), [group, "_cell"])
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_cell").orderBy("v")) - 1
+    found = near.withColumn("_at", at).where(F.array_contains("_places", F.col("_at"))).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("_at", "v"))).alias("_v"))
+
+    def quantile(share: float):
+        place = F.lit(float(share)) * (F.col("_known") - 1)
+        low, high = (F.col("_v")[f(place).cast("long")] for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return ends.join(found, group, "left").select(group, "n", F.array(*map(quantile, shares)).alias("q"))
+
+
+def dispersion(df: DataFrame, group: str, features: Sequence[str], standardize: str = "all", large: bool = False) -> DataFrame:
+    """Per group: n, median and quartiles of the distance of standardised rows to their centroid (z-scores over all rows or the group).
+
+    `large` is for few groups of any size: their quantiles are found by counting.
+    """
+    rows = _big_enough(df, group, large)
     if standardize == "all":
         z = fit_layer(df, features).apply(rows, "_z")
     else:
         w = Window.partitionBy(group)
         spread = lambda f: F.stddev_pop(f).over(w)
         z = rows.withColumns({f"{f}_z": (F.col(f) - F.avg(f).over(w)) / F.when(spread(f) == 0, 1.0).otherwise(spread(f)) for f in features})
-    d = _distances(z, group, [f"{f}_z" for f in features])
+    d = _distances(z, group, [f"{f}_z" for f in features], large)
+    if large:
+        q = F.col("q")
+        return quantiles_of_large(d, group, "d", (0.5, 0.25, 0.75)).select(group, "n", q[0].alias("mhi_d"), q[1].alias("q25"), q[2].alias("q75"))
     return d.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.median("d").alias("mhi_d"), F.percentile("d", 0.25).alias("q25"), F.percentile("d", 0.75).alias("q75")
     )
