@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma
 from ..sources.dataset import written
+from . import group_kernels
 from .layers import Layer, fit_layer
 from .space import fit_axes
 
@@ -137,9 +139,11 @@ def knn_entropy(x: np.ndarray, k: int = 5) -> float:
         return math.nan
     radius = np.empty(n)
     square = (x * x).sum(axis=1)
-    for a in range(0, n, 1024):
-        dist = square[a : a + 1024, None] + square[None] - 2 * x[a : a + 1024] @ x.T
-        radius[a : a + 1024] = np.sqrt(np.clip(np.partition(dist, k, axis=1)[:, k], 0, None))
+    for a in range(0, n, 128):
+        dist = square[a : a + 128, None] + square[None]
+        dist -= 2 * x[a : a + 128] @ x.T
+        dist.partition(k, axis=1)
+        radius[a : a + 128] = np.sqrt(np.clip(dist[:, k], 0, None))
     return (-digamma(k) + digamma(n) + d / n * np.log(np.maximum(radius, 1e-10)).sum()) / math.log(n)
 
 
@@ -226,7 +230,7 @@ def bic(x: np.ndarray, k: int, seed: int = 42) -> float:
 def _uniform_dips(draws: int = 1000, size: int = 200, seed: int = 0) -> np.ndarray:
     """Sorted dips of uniform samples times the root of their size, whose distribution hardly depends on it."""
     rng = np.random.default_rng(seed)
-    return np.sort([dip(rng.random(size)) * math.sqrt(size) for _ in range(draws)])
+    return np.sort(group_kernels.dips([rng.random(size) for _ in range(draws)]) * math.sqrt(size))
 
 
 def dip_p_value(statistic: float, n: int) -> float:
@@ -235,34 +239,101 @@ def dip_p_value(statistic: float, n: int) -> float:
     return float(len(table) - np.searchsorted(table, statistic * math.sqrt(n), side="left")) / len(table)
 
 
-def structure(df: DataFrame, group: str, features: Sequence[str], max_k: int = 3, neighbours: int = 5, most_dims: int = 10) -> DataFrame:
+def _large_enough_groups(batches: Iterator[pa.RecordBatch], group: str, features: Sequence[str]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Key and rows of each group of MIN_ROWS or more; batches come ordered by group. Rows are ordered, as the draws of the mixtures depend on it."""
+    key, parts = None, []
+
+    def made() -> Iterator[tuple[pa.Array, np.ndarray]]:
+        x = np.concatenate(parts) if parts else np.empty((0, len(features)))
+        if len(x) >= MIN_ROWS:
+            yield key, x[np.lexsort(x.T)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(group)
+        values = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(float)
+        cuts = np.flatnonzero(np.diff(keys.dictionary_encode().indices.to_numpy())) + 1
+        for a, b in pairwise([0, *cuts.tolist(), len(values)]):
+            here = keys.slice(a, 1)
+            if parts and len(pa.concat_arrays([key, here]).unique()) > 1:
+                yield from made()
+                parts = []
+            key = here
+            parts.append(values[a:b])
+    yield from made()
+
+
+def _together(groups: Iterator[tuple[pa.Array, np.ndarray]], rows: int) -> Iterator[list[tuple[pa.Array, np.ndarray]]]:
+    """Groups in lists of about that many rows, or of one group."""
+    held, size = [], 0
+    for one in groups:
+        if held and size + len(one[1]) > rows:
+            yield held
+            held, size = [], 0
+        held.append(one)
+        size += len(one[1])
+    if held:
+        yield held
+
+
+def _mixture_bics(units: Sequence[np.ndarray], max_k: int) -> np.ndarray:
+    """A row per unit: the BIC of its mixtures of 1..max_k parts; units of like size and the same columns are fitted together."""
+    out = np.empty((len(units), max_k))
+    order = sorted(range(len(units)), key=lambda i: (units[i].shape[1], len(units[i])))
+    while order:
+        first = units[order[0]]
+        alike = [i for i in order if units[i].shape[1] == first.shape[1] and len(units[i]) <= 1.25 * len(first)]
+        order = order[len(alike) :]
+        same, d = [units[i] for i in alike], first.shape[1]
+        n = np.array([len(x) for x in same])
+        for k in range(1, max_k + 1):
+            fit = np.array([group_kernels.one_part(x) for x in same]) if k == 1 else group_kernels.log_likelihoods(same, k)
+            out[alike, k - 1] = -2 * fit + (k - 1 + k * d + k * d * (d + 1) / 2) * np.log(n)
+    return out
+
+
+def structure(df: DataFrame, group: str, features: Sequence[str], max_k: int = 3, neighbours: int = 5, most_dims: int = 10, together: int = 16384) -> DataFrame:
     """Per group: largest dip over at most three local components and its p value, the same of the distances to the centroid (features in
     z-scores over all rows), the gain in BIC of the best mixture of 2..max_k on the local components that hold 95 % of the variance
     (`most_dims` at most), its size, kNN entropy.
 
-    A group is an individual: it is one unit of this operator, whose rows have to be seen together.
+    A group is an individual: it is one unit of this operator, whose rows have to be seen together. Small groups
+    are worked `together` rows at a time, which changes no result.
     """
     features = list(features)
     of_all = df.agg(*[a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).first()
     middle, scale = (np.array([of_all[f"{k}_{f}"] or 0.0 for f in features], dtype=float) for k in "ms")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(dtype=float)
-        spread = x.std(axis=0)
-        z = (x - x.mean(axis=0)) / np.where(spread == 0, 1, spread)
-        u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
-        share = np.cumsum(s * s) / max((s * s).sum(), 1e-300)
-        coords = u * s
-        dips = [dip(coords[:, j]) for j in range(min(3, len(s)))]
-        whole = (x - middle) / np.where(scale == 0, 1, scale)
-        apart = dip(np.linalg.norm(whole - whole.mean(axis=0), axis=1))
-        local = coords[:, : int(min(np.searchsorted(share, 0.95) + 1, most_dims, len(s)))]
-        scores = [bic(local, k) for k in range(1, max_k + 1)] if len(x) > 3 * max_k else [math.nan]
-        gain = scores[0] - min(scores[1:]) if len(scores) > 1 else math.nan
-        size = int(np.nanargmin(scores)) + 1 if len(scores) > 1 else 1
-        row = {group: pdf[group].iloc[0], "n": len(x), "dip": max(dips), "dip_p": dip_p_value(max(dips), len(x)), "distance_dip": apart, "distance_dip_p": dip_p_value(apart, len(x))}
-        return pd.DataFrame([row | {"delta_bic": gain, "best_k": size, "knn_entropy": knn_entropy(z, neighbours)}])
+    def several(groups: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        series, local, entropy = [], [], []
+        for _, x in groups:
+            spread = x.std(axis=0)
+            z = (x - x.mean(axis=0)) / np.where(spread == 0, 1, spread)
+            u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+            share = np.cumsum(s * s) / max((s * s).sum(), 1e-300)
+            coords = u * s
+            whole = (x - middle) / np.where(scale == 0, 1, scale)
+            series.append([*coords.T[:3], np.linalg.norm(whole - whole.mean(axis=0), axis=1)])
+            local.append(coords[:, : int(min(np.searchsorted(share, 0.95) + 1, most_dims, len(s)))])
+            entropy.append(knn_entropy(z, neighbours))
+        n = [len(x) for _, x in groups]
+        found = iter(group_kernels.dips([s for own in series for s in own]).tolist())
+        dips = [[next(found) for _ in own] for own in series]
+        gain, size = np.full(len(groups), math.nan), np.ones(len(groups), dtype=np.int64)
+        fitted = [i for i in range(len(groups)) if n[i] > 3 * max_k] if max_k > 1 else []
+        if fitted:
+            scores = _mixture_bics([local[i] for i in fitted], max_k)
+            gain[fitted], size[fitted] = scores[:, 0] - scores[:, 1:].min(axis=1), scores.argmin(axis=1) + 1
+        p = lambda values: [dip_p_value(v, m) for v, m in zip(values, n, strict=True)]
+        most, apart = [max(own[:-1]) for own in dips], [own[-1] for own in dips]
+        columns = {"n": n, "dip": most, "dip_p": p(most), "distance_dip": apart, "distance_dip_p": p(apart), "delta_bic": gain, "best_k": size, "knn_entropy": entropy}
+        return pa.RecordBatch.from_pydict({group: pa.concat_arrays([k for k, _ in groups])} | {c: pa.array(v, pa.int64() if c in ("n", "best_k") else pa.float64()) for c, v in columns.items()})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(several, _together(_large_enough_groups(batches, group, features), together))
 
     kind = df.schema[group].dataType.simpleString()
-    rows = _big_enough(df, group).select(group, *features)
-    return rows.groupBy(group).applyInPandas(one, f"{group} {kind}, n long, dip double, dip_p double, distance_dip double, distance_dip_p double, delta_bic double, best_k long, knn_entropy double")
+    rows = df.where(F.col(group).isNotNull()).select(group, *[F.col(f).cast("double").alias(f) for f in features])
+    dealt = rows.repartition(F.col(group)).sortWithinPartitions(group)
+    return dealt.mapInArrow(work, f"{group} {kind}, n long, dip double, dip_p double, distance_dip double, distance_dip_p double, delta_bic double, best_k long, knn_entropy double")
