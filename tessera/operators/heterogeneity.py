@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -241,28 +240,11 @@ def dip_p_value(statistic: float, n: int) -> float:
 
 def _large_enough_groups(batches: Iterator[pa.RecordBatch], group: str, features: Sequence[str]) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Key and rows of each group of MIN_ROWS or more; batches come ordered by group. Rows are ordered, as the draws of the mixtures depend on it."""
-    key, parts = None, []
-
-    def made() -> Iterator[tuple[pa.Array, np.ndarray]]:
-        x = np.concatenate(parts) if parts else np.empty((0, len(features)))
-        if len(x) >= MIN_ROWS:
+    for key, parts in group_kernels.runs(batches, group):
+        if sum(b.num_rows for b in parts) >= MIN_ROWS:
+            x = group_kernels.matrix(parts, features)
             yield key, x[np.lexsort(x.T)]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(group)
-        values = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features]).astype(float)
-        cuts = np.flatnonzero(np.diff(keys.dictionary_encode().indices.to_numpy())) + 1
-        for a, b in pairwise([0, *cuts.tolist(), len(values)]):
-            here = keys.slice(a, 1)
-            if parts and len(pa.concat_arrays([key, here]).unique()) > 1:
-                yield from made()
-                parts = []
-            key = here
-            parts.append(values[a:b])
-    yield from made()
-
 
 def _together(groups: Iterator[tuple[pa.Array, np.ndarray]], rows: int) -> Iterator[list[tuple[pa.Array, np.ndarray]]]:
     """Groups in lists of about that many rows, or of one group."""
